@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skipjack.llm import quality_model, toxicity
 from skipjack.llm.common import table, text_of
 from skipjack.llm.decontaminate import find_contamination
 from skipjack.llm.quality_rules import quality_cascade
@@ -15,6 +16,23 @@ from skipjack.llm.substring import deduplicate_substrings
 SHARDS = 40
 
 
+def _scored(found: DataFrame, folds: int, held_out: int, *more: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    return found.select("doc_id", (fold == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
+
+
+def op1_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score_toxicity(docs, index), toxicity.FOLDS, toxicity.HELD_OUT, "evidence")
+
+
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality_model.score_quality(docs, model), quality_model.FOLDS, quality_model.HELD_OUT)
+
+
 def op2_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -97,10 +115,12 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op1_toxicity_neighbours": op1_toxicity_neighbours,
     "op2_simhash_gray": op2_simhash_gray,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_quality_rules": op4_quality_rules,
     "op5_aho_corasick": op5_aho_corasick,
+    "op7_subword_quality": op7_subword_quality,
     "op10_window_index": op10_window_index,
 }
 
