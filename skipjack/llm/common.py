@@ -44,6 +44,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut a batch so that the texts of a slice take about `limit` bytes; a longer text is a slice of its own."""
     size = batch.column(column).nbytes

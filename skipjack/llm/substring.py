@@ -2,22 +2,22 @@
 
 A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id.
 
-1. Fingerprints. Each window's anchor is the least hash of its 6-word grams (winnowing): equal windows have equal
-   anchors, and neighbouring windows share theirs, so about two anchors come from nine words.
-2. Log-structured index. A batch's anchors become a run: one row (h, first_doc, last_doc) per anchor, hash-bucketed and
-   sorted by h, never changed after it is written. Each batch's run is merge-joined with the runs before it (buckets
-   line up, so the old runs are not shuffled); an anchor met in two documents is shared. Once there are more than
-   ``fan_in`` runs they are compacted into one. The index can be reopened for later batches.
-3. Verification. Only windows whose anchor is shared are looked at again: by a 128-bit hash of their words, the first
-   document of each is found and those that start earlier elsewhere are marked. Nothing rests on the 64-bit anchors.
+1. Profile: one pass over the texts gives a digest of the words, and the winnowed fingerprints: a window's anchor is the
+   least hash of its 6-word grams, so equal windows have equal anchors and neighbouring windows share theirs (about two
+   anchors come from nine words). Documents whose words equal an earlier document's lose every word and go no further.
+2. Log-structured index. A batch's anchors become a run: (h, doc_id), hash-bucketed and sorted by h, never changed after
+   it is written. Each new run is merge-joined with the runs before it (buckets line up, so no run is shuffled); an
+   anchor met in two documents is shared. Once there are more than ``fan_in`` runs they are compacted into one. The
+   index outlives the call, for later batches; a document comes in one batch.
+3. Verification. Only windows whose anchor is shared are looked at again, by a 128-bit hash of their words. A task first
+   settles what it can among its own documents and sends one row per window, so a passage in a third of all documents
+   makes a row per task, not per document. Nothing rests on the 64-bit anchors.
 4. Removal on the original text, by character spans.
 
-Joins meet unique keys on one side (first document of a window), so a passage in a third of all documents makes one
-row per occurrence, never pairs.
-
 Defined cases: null and blank texts have no words; texts under 13 words have no window; rows that repeat a doc_id
 belong to one document but their windows do not span rows, and each row is returned; null doc_ids sort before all
-others, as one document; other columns are ignored.
+others, as one document; other columns are ignored; an empty table gives an empty result. The input is read twice and must give the same rows in the same
+partitions (files do); otherwise the job stops with an error.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipjack.llm.common import as_bytes, release, scratch, shared_dir, slices, stored
+from skipjack.llm.common import as_bytes, release, remove, scratch, shared_dir, slices, stored
 from skipjack.llm.windows import Words
 
 WINDOW, GRAM = 13, 6
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-RUN_SCHEMA = "h long, first_doc long, last_doc long"
 #: Stands for a null doc_id, below all others.
 NO_DOC = -(2**63)
 
@@ -43,30 +43,37 @@ NO_DOC = -(2**63)
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 1):
         self.spark, self.fan_in = spark, fan_in
         self.path = path or scratch(spark, "window-index")
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[DataFrame] = []
+        self.runs: list[tuple[str, str]] = []
         self.count = 0
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = f"{self.path}/run-{self.count:05d}"
         self.count += 1
         name = "skipjack_" + re.sub(r"\W", "_", path)[-80:]
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        rows.write.option("path", path).bucketBy(self.buckets, "h").sortBy("h").mode("overwrite").saveAsTable(name)
-        return self.spark.table(name)
+        rows.repartition(self.buckets, "h").write.option("path", path).bucketBy(self.buckets, "h").sortBy("h").mode("overwrite").saveAsTable(name)
+        return name, path
+
+    def postings(self) -> DataFrame:
+        """(h, doc_id) of all runs."""
+        out = None
+        for name, _ in self.runs:
+            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
+        return out
 
     def append(self, postings: DataFrame) -> DataFrame:
-        """Add a batch's (h, doc_id); return its shared anchors and those it makes shared (h, one row each)."""
-        per_key = postings.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        run = self._write(per_key.repartition(self.buckets, "h"))
-        shared = run.where("first_doc < last_doc").select("h")
-        for old in self.runs:
-            # The merge join: both sides are bucketed and sorted by h.
-            met = run.alias("n").join(old.alias("o").hint("merge"), "h").where("n.first_doc <> o.first_doc OR n.last_doc <> o.last_doc")
-            shared = shared.unionByName(met.select("h"))
+        """Add a batch's (h, doc_id); return the anchors it shares or makes shared (h, one row each)."""
+        run = self._write(postings.select("h", "doc_id"))
+        new = self.spark.table(run[0])
+        shared = new.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+        for name, _ in self.runs:
+            # The merge join of keys: both sides are bucketed and sorted by h.
+            keys = new.select("h").distinct()
+            shared = shared.unionByName(keys.join(self.spark.table(name).select("h").distinct().hint("merge"), "h"))
         self.runs.append(run)
         found = stored(shared.distinct() if len(self.runs) > 1 else shared, "shared-anchors")
         if len(self.runs) > self.fan_in:
@@ -74,71 +81,90 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        rows = self.runs[0]
-        for x in self.runs[1:]:
-            rows = rows.unionByName(x)
-        merged = rows.groupBy("h").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-        self.runs = [self._write(merged.repartition(self.buckets, "h"))]
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        """Merge all runs into one and remove them."""
+        old, merged = self.runs, self._write(self.postings())
+        self.runs = [merged]
+        for name, path in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
 
 
-def postings(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, doc_id): the distinct anchors of each text."""
+def profile(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs(doc_id, text, row) -> doc_id, row, n_words, digest of the words (a, b), their sha256, distinct anchors h."""
+    kind = pa.list_(pa.int64())
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(as_bytes(part.column("text")))
+                texts = as_bytes(part.column("text"))
+                words = Words(texts)
                 places, low = words.anchors(size, gram)
                 owner = words.text_of[places]
                 if len(low):  # windows in a row mostly share theirs; then the rest
-                    new = np.concatenate(([True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])))
-                    low, owner = low[new], owner[new]
-                    order = np.lexsort((low, owner))
-                    low, owner = low[order], owner[order]
-                    new = np.concatenate(([True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])))
-                    low, owner = low[new], owner[new]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(ids[owner])], names=["h", "doc_id"])
-
-    return docs.mapInArrow(run, "h long, doc_id long")
-
-
-def _candidates(held: DataFrame, size: int, gram: int) -> DataFrame:
-    """(a, b, doc_id, row, at): the 128-bit hash of each window with a shared anchor."""
+                    for sort in (False, True):
+                        if sort:
+                            order = np.lexsort((low, owner))
+                            low, owner = low[order], owner[order]
+                        new = np.concatenate(([True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])))
+                        low, owner = low[new], owner[new]
+                offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                lines = [b" ".join(t.split()) for t in texts]
+                pair = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
+                arrays = [part.column("doc_id"), part.column("row"), pa.array(np.diff(words.bounds)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([hashlib.sha256(x).hexdigest() for x in lines]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64))).cast(kind)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_words", "a", "b", "sha", "h"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, n_words long, a long, b long, sha string, h array<long>")
+
+
+def _marks(held: DataFrame, size: int, gram: int) -> DataFrame:
+    """held(doc_id, row, text, shared) -> (row, at): windows that also start in an earlier document.
+
+    Rows sent on: the task's first document of each window (a, b, doc_id, row, at), and what is already known to be late (a
+    random, b null).
+    """
 
     def run(batches):
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
+            keys, docs, rows, ats = [], [], [], []
             for part in slices(batch, "text"):
                 words = Words(as_bytes(part.column("text")))
                 places, low = words.anchors(size, gram)
                 owner = words.text_of[places]
                 lists = part.column("shared")
-                keep = np.zeros(len(places), bool)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
+                keep = np.zeros(len(places), bool)
                 for k in range(part.num_rows):
-                    a, b = cuts[k], cuts[k + 1]
-                    keep[a:b] = np.isin(low[a:b], flat[offsets[k] : offsets[k + 1]])
+                    keep[cuts[k] : cuts[k + 1]] = np.isin(low[cuts[k] : cuts[k + 1]], flat[offsets[k] : offsets[k + 1]])
                 places, owner = places[keep], owner[keep]
                 # Words with one space between them: a window is a slice of these bytes.
                 line = b" ".join(words.whole.split())
                 sizes = words.ends - words.starts
                 begin = np.cumsum(sizes + 1) - sizes - 1
-                digest = xxhash.xxh3_128_digest
-                keys = b"".join([digest(line[s:e]) for s, e in zip(begin[places].tolist(), (begin + sizes)[places + size - 1].tolist(), strict=True)])
-                pair = np.frombuffer(keys, np.int64).reshape(-1, 2)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                rows = part.column("row").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(ids[owner]), pa.array(rows[owner]), pa.array((places - words.bounds[owner]).astype(np.int32))], names=["a", "b", "doc_id", "row", "at"])
-
-    return held.mapInArrow(run, "a long, b long, doc_id long, row long, at int")
+                keys.append(b"".join([digest(line[s:e]) for s, e in zip(begin[places].tolist(), (begin + sizes)[places + size - 1].tolist(), strict=True)]))
+                docs.append(part.column("doc_id").to_numpy(zero_copy_only=False)[owner])
+                rows.append(part.column("row").to_numpy(zero_copy_only=False)[owner])
+                ats.append((places - words.bounds[owner]).astype(np.int32))
+            if not keys:
+                continue
+            pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            a, b, doc, row, at = pair[:, 0], pair[:, 1], np.concatenate(docs), np.concatenate(rows), np.concatenate(ats)
+            order = np.lexsort((doc, b, a))
+            a, b, doc, row, at = a[order], b[order], doc[order], row[order], at[order]
+            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+            first = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))]
+            late = doc > first
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(late, row * 31 + at, a)), pa.array(b, mask=late), pa.array(doc), pa.array(row), pa.array(at)], names=["a", "b", "doc_id", "row", "at"])
+
+    sent = held.mapInArrow(run, "a long, b long, doc_id long, row long, at int")
+    first = F.min("doc_id").over(Window.partitionBy("a", "b"))
+    return sent.withColumn("first", first).where("b is null or doc_id > first").select("row", "at")
 
 
 def cut(text: str, starts: np.ndarray, size: int) -> tuple[int, int, list[dict], str, str]:
@@ -163,71 +189,83 @@ def cut(text: str, starts: np.ndarray, size: int) -> tuple[int, int, list[dict],
     return len(places), len(numbers), spans, kept, "".join(left) if spans else text
 
 
-OUT = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept_text string"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _removed(held: DataFrame, size: int, with_text: bool) -> DataFrame:
-    """Apply the marks in column `starts` (null: none) to each text."""
+def _removed(held: DataFrame, size: int) -> DataFrame:
+    """held(row, text, starts) -> the text's row of results."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], []]
                 for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                    if starts:
-                        n, gone, spans, kept, left = cut(text, np.array(starts, np.int64), size)
-                        digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-                    else:
-                        words = (text or "").encode("utf-8", "surrogatepass").split()
-                        n, gone, spans, left = len(words), 0, [], text
-                        digest = hashlib.sha256(b" ".join(words)).hexdigest()
-                    for c, v in zip(cols, (n, gone, digest, spans, left if with_text else None), strict=True):
+                    _, gone, spans, kept, left = cut(text or "", np.array(starts, np.int64), size)
+                    for c, v in zip(cols, (gone, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), spans, left), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], SPANS), pa.array(cols[4], pa.string())], names=[x.split()[0] for x in re.sub(r"<.*?>+", "", OUT).split(", ")])
+                kinds = (pa.int64(), pa.string(), SPANS, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "gone", "kept", "cut_spans", "cut_text"])
 
-    return held.mapInArrow(run, OUT)
+    return held.select("row", "text", "starts").mapInArrow(run, "row long, gone long, kept string, cut_spans array<struct<start:int,end:int>>, cut_text string")
 
 
 def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """n_words, n_removed, kept_sha256, spans and kept_text per row; `row` numbers the rows of docs.
+    """doc_id, row, n_words, n_removed, kept_sha256, spans (cut from the text; null: all of it) and, on demand, kept_text.
 
-    docs is read several times and must give the same rows each time (files do).
+    `row` numbers the rows of docs (monotonically_increasing_id over its partitions).
     """
     spark = docs.sparkSession
     shared_dir(spark)
     index = index or FingerprintIndex(spark)
-    texts = _texts(docs, id_col, text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    seen = stored(profile(texts, size, gram), "profiles")
+    windowed = seen.where(F.col("n_words") >= size)
+    # Whole copies of an earlier document: every window of theirs starts in it.
+    firsts = windowed.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copies = stored(windowed.select("doc_id", "row", "a", "b", "n_words").join(firsts, ["a", "b", "n_words"]).where("doc_id > first").select("row"), "copies")
+    single = windowed.select("doc_id", "row", "h").join(copies, "row", "left_anti")
     # Batches by doc_id, so that what the index holds is older than what comes in.
-    edges = [] if batches < 2 else texts.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    edges = [] if batches < 2 else single.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = sorted(set(edges))
-    marks, owners = [], []
+    shared = None
     for k in range(len(edges) + 1):
-        batch = texts
+        batch = single
         if k:
             batch = batch.where(F.col("doc_id") > edges[k - 1])
         if k < len(edges):
             batch = batch.where(F.col("doc_id") <= edges[k])
-        found = stored(postings(batch, size, gram), "anchors")
-        owners.append(found)
-        marks.append(index.append(found))
+        found = index.append(batch.select(F.explode("h").alias("h"), "doc_id"))
+        shared = found if shared is None else shared.unionByName(found)
+        del batch, found
         release(spark)
-    shared, all_owners = marks[0], owners[0]
-    for x, y in zip(marks[1:], owners[1:], strict=True):
-        shared, all_owners = shared.unionByName(x), all_owners.unionByName(y)
-    shared = shared.distinct() if len(marks) > 1 else shared
+    shared = shared.distinct() if edges else shared
     # Unique keys on the right: a frequent anchor makes one row per document that has it.
-    lists = stored(all_owners.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
+    lists = stored(index.postings().join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
     release(spark)
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    held = stored(numbered.join(lists, "doc_id", "left"), "texts")
+    wanted = lists.select("doc_id").join(single.select("doc_id", "row"), "doc_id").count()
+    held = stored(texts.join(lists, "doc_id").join(copies, "row", "left_anti"), "texts")
+    if held.count() != wanted:
+        raise RuntimeError("the source gave other partitions on its second reading; store it first")
     release(spark)
-    some = held.where("shared is not null")
-    windows = _candidates(some, size, gram)
-    firsts = stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("a", "b", "first_doc"), "first-documents")
+    starts = stored(_marks(held, size, gram).groupBy("row").agg(F.collect_set("at").alias("starts")), "removals")
     release(spark)
-    late = windows.join(firsts, ["a", "b"]).where("doc_id > first_doc")
-    starts = stored(late.groupBy("row").agg(F.collect_list("at").alias("starts")), "removals")
+    removed = _removed(held.select("row", "text").join(starts, "row"), size)
+    removed = stored(removed if with_text else removed.drop("cut_text"), "removed")
     release(spark)
-    out = _removed(some.drop("shared").join(starts, "row", "left"), size, with_text).unionByName(_removed(held.where("shared is null").select("doc_id", "text", "row", F.lit(None).cast("array<int>").alias("starts")), size, with_text))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
+    nothing = hashlib.sha256(b"").hexdigest()
+    out = seen.select("doc_id", "row", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), "row", "left").join(removed, "row", "left")
+    no_span = F.array().cast("array<struct<start:int,end:int>>")
+    out = out.select(
+        F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")).alias("doc_id"),
+        "row",
+        "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.lit(None)).otherwise(F.coalesce("cut_spans", no_span)).alias("spans"),
+        *([F.when(F.col("copy"), F.lit("")).otherwise(F.col("cut_text")).alias("cut_text")] if with_text else []),
+    )
+    if not with_text:
+        return out
+    # The columns of the first reading, so that the rows are numbered alike.
+    whole = texts.withColumnRenamed("doc_id", "key").join(out.withColumn("key", F.coalesce("doc_id", F.lit(NO_DOC))), ["row", "key"]).drop("key")
+    return whole.withColumn("kept_text", F.coalesce("cut_text", "text")).drop("cut_text", "text")

@@ -114,7 +114,7 @@ def test_substring_removal(docs, batches):
 
 def test_index_is_incremental_and_compacts(spark, docs):
     index = substring.FingerprintIndex(spark, buckets=3, fan_in=1)
-    posts = substring.postings(substring._texts(docs, "doc_id", "text"))
+    posts = spark.createDataFrame(substring.profile(docs.selectExpr("doc_id", "text", "1L row")).selectExpr("explode(h) h", "doc_id").collect(), "h long, doc_id long")
     half = [posts.where(f"doc_id % 3 = {k}") for k in range(3)]
     shared = set()
     for x in half:
