@@ -1 +1 @@
-"""Subpackage of skipjack."""
+"""Plans: from a model predicate to a pruned scan."""

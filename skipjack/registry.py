@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skipjack.plans.queries import ORACLES, QUERIES  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
