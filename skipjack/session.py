@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def importable(query):
+    """Wrap f(spark, ...): Python workers find this package where it lies, whatever folder the driver runs in.
+
+    On a cluster without a shared installation, ship the package with --py-files instead.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        return query(spark, *args)
+
+    return run
+
 
 def get_session(app: str = "skipjack", cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with UTC time, AQE and Arrow; on a cluster pass your own session instead."""
