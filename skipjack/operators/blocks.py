@@ -71,15 +71,18 @@ def half_spaces(hull: np.ndarray) -> list[tuple[float, float, float]]:
     return out
 
 
-def block_hulls(points: DataFrame, x: str, y: str, pieces: int = 8) -> DataFrame:
-    """(block_id, hull array<struct<x,y>>). Hulls of slices of a block are built first and then merged, so a task holds
-    one slice of a block."""
+def block_hulls(points: DataFrame, x: str, y: str, pieces: int = 1) -> DataFrame:
+    """(block_id, hull array<struct<x,y>>). A block has a fixed number of rows; for very large blocks, hulls of `pieces` slices are
+    built first and then merged."""
     kind = "array<struct<x:double,y:double>>"
 
     def run(pdf: pd.DataFrame, key: list[str]) -> pd.DataFrame:
         hull = convex_hull(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "hull": [[{"x": float(a), "y": float(b)} for a, b in hull]]})
 
+    if pieces == 1:
+        own = points.select("block_id", F.col(x).alias("x"), F.col(y).alias("y"))
+        return own.groupBy("block_id").applyInPandas(lambda p: run(p, ["block_id"]), f"block_id long, hull {kind}")
     flat = points.select("block_id", F.pmod(F.xxhash64("row_id"), F.lit(pieces)).cast("int").alias("piece"), F.col(x).alias("x"), F.col(y).alias("y"))
     part = flat.groupBy("block_id", "piece").applyInPandas(lambda p: run(p, ["block_id", "piece"]), f"block_id long, piece int, hull {kind}")
     corners = part.select("block_id", F.explode("hull").alias("p")).select("block_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))

@@ -77,7 +77,7 @@ def test_no_skipped_block_matches(spark, inputs):
         found = {
             "interval": ve.interval_verdicts(meta, model, names, lo, hi).where("should_skip"),
             "exact": ve.verdicts(meta, model, names, lo, hi).where("should_skip"),
-            "hull": ve.verdicts(meta.join(bl.block_hulls(pts, *pair), "block_id"), model, names, lo, hi).where("should_skip"),
+            "hull": ve.verdicts(meta.join(bl.block_hulls(pts, *pair, pieces=trial + 1), "block_id"), model, names, lo, hi).where("should_skip"),
             "grid": ve.grid_verdicts(bl.grid_cells(pts, *pair, 3), meta, model, names, pair, 3, lo, hi).where("should_skip"),
             "cells": ce.reachable(meta, cells, names, float(lo), float(hi)).where("not reachable"),
         }
