@@ -38,12 +38,14 @@ WINDOW, GRAM = 13, 6
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Stands for a null doc_id, below all others.
 NO_DOC = -(2**63)
+#: Rows of a list of row numbers that may be sent to every task (8 bytes each).
+BROADCAST_ROWS = 250_000
 
 
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 1):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4):
         self.spark, self.fan_in = spark, fan_in
         self.path = path or scratch(spark, "window-index")
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -58,13 +60,22 @@ class FingerprintIndex:
         rows.repartition(self.buckets, "h").write.option("path", path).bucketBy(self.buckets, "h").sortBy("h").mode("overwrite").saveAsTable(name)
         return name, path
 
-    def postings(self) -> DataFrame:
-        """(h, doc_id) of all runs."""
+    def postings(self, shared: DataFrame | None = None) -> DataFrame:
+        """(h, doc_id) of all runs, or of the given anchors; each run is joined where its buckets lie."""
         out = None
         for name, _ in self.runs:
-            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
+            own = self.spark.table(name)
+            own = own if shared is None else own.join(shared, "h")
+            out = own if out is None else out.unionByName(own)
         return out
 
+    def drop(self) -> None:
+        """Remove the whole index."""
+        for name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+        remove(self.spark, self.path)
+
     def append(self, postings: DataFrame) -> DataFrame:
         """Add a batch's (h, doc_id); return the anchors it shares or makes shared (h, one row each)."""
         run = self._write(postings.select("h", "doc_id"))
@@ -216,16 +227,22 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    own_index = index is None
     index = index or FingerprintIndex(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    seen = stored(profile(texts, size, gram), "profiles")
+    path = scratch(spark, "profiles")
+    profile(texts, size, gram).write.parquet(path)
+    full = spark.read.parquet(path)
+    seen = stored(full.drop("h"), "digests")
     windowed = seen.where(F.col("n_words") >= size)
     # Whole copies of an earlier document: every window of theirs starts in it.
     firsts = windowed.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stored(windowed.select("doc_id", "row", "a", "b", "n_words").join(firsts, ["a", "b", "n_words"]).where("doc_id > first").select("row"), "copies")
-    single = windowed.select("doc_id", "row", "h").join(copies, "row", "left_anti")
+    # Sent around only while their checked number is small; otherwise joined by a shuffle.
+    sent = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    single = full.where(F.col("n_words") >= size).select("doc_id", "row", "h").join(sent, "row", "left_anti")
     # Batches by doc_id, so that what the index holds is older than what comes in.
-    edges = [] if batches < 2 else single.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    edges = [] if batches < 2 else windowed.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = sorted(set(edges))
     shared = None
     for k in range(len(edges) + 1):
@@ -238,12 +255,18 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
         shared = found if shared is None else shared.unionByName(found)
         del batch, found
         release(spark)
+    del single, full
     shared = shared.distinct() if edges else shared
     # Unique keys on the right: a frequent anchor makes one row per document that has it.
-    lists = stored(index.postings().join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
+    lists = stored(index.postings(shared).groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
+    remove(spark, path)
+    if own_index:
+        index.drop()
     release(spark)
-    wanted = lists.select("doc_id").join(single.select("doc_id", "row"), "doc_id").count()
-    held = stored(texts.join(lists, "doc_id").join(copies, "row", "left_anti"), "texts")
+    wanted = lists.select("doc_id").join(windowed.select("doc_id", "row").join(sent, "row", "left_anti"), "doc_id").count()
+    held_path = scratch(spark, "texts")
+    texts.join(lists, "doc_id").join(sent, "row", "left_anti").write.parquet(held_path)
+    held = spark.read.parquet(held_path)
     if held.count() != wanted:
         raise RuntimeError("the source gave other partitions on its second reading; store it first")
     release(spark)
@@ -251,6 +274,8 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     release(spark)
     removed = _removed(held.select("row", "text").join(starts, "row"), size)
     removed = stored(removed if with_text else removed.drop("cut_text"), "removed")
+    del held
+    remove(spark, held_path)
     release(spark)
     nothing = hashlib.sha256(b"").hexdigest()
     out = seen.select("doc_id", "row", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), "row", "left").join(removed, "row", "left")
