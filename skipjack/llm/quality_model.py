@@ -36,7 +36,8 @@ REPEATED = 0  # bucket of the repeated-word mark
 
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, text number of each), in the order of the texts for each kind of feature."""
-    words = Words(texts)
+    # A space at either end: a text's edges are its own, whatever stands beside it.
+    words = Words([b" " + t + b" " for t in texts])
     size = np.uint64(64 - bits)
     buckets, owners = [], []
 
