@@ -1,8 +1,8 @@
 """Token ids as Arrow stream files of fixed-size lists.
 
 Documents are range-partitioned and sorted by id; each task tokenizes its range and writes one file. A file is an Arrow
-stream whose batches hold two fixed-size lists per row: ``ids`` (length L, unsigned 32-bit) and ``mask`` (length L,
-1 for ids, 0 for the padding of the file's last row). Rows have equal size, so sequence k of a batch is a slice of a
+stream whose batches hold two fixed-size lists per row: ``ids`` (length L, unsigned, 16-bit where the vocabulary allows
+it, otherwise 32-bit) and ``mask`` (length L, bits: true for ids, false for the padding of the file's last row). Rows have equal size, so sequence k of a batch is a slice of a
 buffer, read without copying. Beside it stands an index file (doc_id, offset in the file, number of ids).
 
 Files are written under an attempt's own name and renamed when they are whole, so a lost or repeated task leaves no
@@ -18,7 +18,9 @@ null ids come first; an empty table gives no files and an empty result; other co
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
 import uuid
 import zlib
 
@@ -31,12 +33,11 @@ from pyspark.sql import functions as F
 from skipjack.llm.common import scratch, slices, stored
 
 LENGTH, END_ID, BATCH = 1024, 0, 512
-REMEMBERED = 400_000
-#: The pre-token rule for texts of ASCII and Latin letters; others go to the library whole.
-PLAIN = re.compile(r"[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-ſ]*\Z")
+REMEMBERED = 250_000
+#: The pre-token rule is for texts of ASCII and Latin letters; those with anything else go to the library whole.
+OTHER = re.compile(r"[^\x00-\x1B\x20-\x7F\xC0-\xD6\xD8-\xF6\xF8-ſ]")
 LETTER = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-ſ"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
 class Tokens:
@@ -49,23 +50,35 @@ class Tokens:
         self.own.encode_special_tokens = True
         state = self.own.pre_tokenizer.__getstate__() if self.own.pre_tokenizer else b""
         self.cuts = self.own.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
-        self.remembered, self.met = remembered, {}
+        self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
+        self.remembered, self.met, self.older = remembered, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.cuts and PLAIN.match(t) and not ODD_SPACE.search(t)]
+        plain = [k for k, t in enumerate(texts) if self.cuts and not OTHER.search(t)]
         rest = sorted(set(range(len(texts))) - set(plain))
         for k, e in zip(rest, self.own.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.uint32)
-        cut = [SPLIT.findall(texts[k]) for k in plain]
-        if len(self.met) > self.remembered:
-            self.met = {}
-        met = self.met
-        new = list(set().union(*cut) - met.keys()) if cut else []
-        for x, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            met[x] = np.array(e.ids, "<u4").tobytes()
-        for k, c in zip(plain, cut, strict=True):
-            out[k] = np.frombuffer(b"".join([met[x] for x in c]), "<u4")
+            out[k] = np.array(e.ids, self.kind)
+        pack, code = struct.pack, self.kind.char
+        for at in range(0, len(plain), 256):
+            group = plain[at : at + 256]
+            cut = [SPLIT.findall(texts[k]) for k in group]
+            # A small table of this group's pre-tokens: its look-ups stay in the processor's cache.
+            own = dict.fromkeys(set().union(*cut))
+            new = []
+            for x in own:
+                found = self.met.get(x) or self.older.get(x)
+                if found is None:
+                    new.append(x)
+                else:
+                    own[x] = self.met[x] = found
+            for x, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                ids = e.ids
+                own[x] = self.met[x] = pack(f"<{len(ids)}{code}", *ids)
+            for k, c in zip(group, cut, strict=True):
+                out[k] = np.frombuffer(b"".join([own[x] for x in c]), self.kind)
+            if len(self.met) > self.remembered:  # frequent ones come back from the older half
+                self.older, self.met = self.met, {}
         return out
 
 
@@ -91,9 +104,9 @@ def _store(uri: str):
 class FileWriter:
     """Fills rows of `length` ids and writes them batch by batch."""
 
-    def __init__(self, sink, length: int):
-        self.length = length
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, kind: np.dtype):
+        self.length, self.kind = length, kind
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_stream(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = 0
@@ -105,14 +118,14 @@ class FileWriter:
             self._flush(self.size // self.length * self.length)
 
     def _flush(self, count: int) -> None:
-        whole = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        whole = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         now, rest = whole[:count], whole[count:]
         self.held, self.size = [rest], len(rest)
         if len(now):
-            self._write(now, np.ones(len(now), np.uint8))
+            self._write(now, np.ones(len(now), bool))
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(np.uint32), mask)]
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(self.kind), mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
     def close(self) -> None:
@@ -120,7 +133,7 @@ class FileWriter:
         if self.size:
             last = np.concatenate(self.held)
             pad = self.length - len(last)
-            self._write(np.concatenate((last, np.zeros(pad, np.uint32))), np.concatenate((np.ones(len(last), np.uint8), np.zeros(pad, np.uint8))))
+            self._write(np.concatenate((last, np.zeros(pad, self.kind))), np.arange(self.length) < len(last))
         self.writer.close()
 
 
@@ -135,15 +148,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
     def run(batches):
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
+        gc.disable()  # no cycles arise here, and the library's many small results would be traversed again and again
         coder, part, tag = tokens(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
         ids, offsets, sizes, total = [], [], [], 0
         names = [f"{root}/part-{part:06d}.arrows", f"{root}/part-{part:06d}.index"]
         with store.open_output_stream(f"{names[0]}.{tag}") as sink:
-            writer = FileWriter(sink, length)
+            writer = FileWriter(sink, length, coder.kind)
             for batch in batches:
                 for piece in slices(batch, "text"):
                     for found in coder.encode(piece.column("text").to_pylist()):
-                        row = np.append(found, np.uint32(end_id)).astype("<u4")
+                        row = np.append(found, coder.kind.type(end_id))
                         writer.add(row)
                         offsets.append(total)
                         sizes.append(len(row))
@@ -175,8 +189,8 @@ class FileReader:
 
     def sequence(self, k: int, column: str = "ids") -> np.ndarray:
         b = int(np.searchsorted(self.rows, k, side="right")) - 1
-        own = self.batches[b].column(column)
-        return own.values.to_numpy(zero_copy_only=True)[(k - self.rows[b]) * self.length : (k - self.rows[b] + 1) * self.length]
+        own = self.batches[b].column(column).values.slice((k - self.rows[b]) * self.length, self.length)
+        return own.to_numpy(zero_copy_only=column == "ids")  # a mask is unpacked from its bits
 
     def span(self, start: int, count: int) -> np.ndarray:
         """`count` ids from place `start` on; no copy if they lie in one batch."""
@@ -205,7 +219,7 @@ def read_tokens(folder: str, files: DataFrame) -> DataFrame:
                 with store.open_input_file(index) as source:
                     table = pa.ipc.open_stream(source).read_all()
                 offset, size = table.column("offset").to_numpy(), table.column("n_tokens").to_numpy()
-                crc = [zlib.crc32(reader.span(a, n).tobytes()) for a, n in zip(offset.tolist(), size.tolist(), strict=True)]
+                crc = [zlib.crc32(reader.span(a, n).astype("<u4").tobytes()) for a, n in zip(offset.tolist(), size.tolist(), strict=True)]
                 out = pa.table({"doc_id": table.column("doc_id"), "start": pa.array(offset + base), "n_tokens": pa.array(size), "ids_crc32": pa.array(crc, pa.int64())})
                 yield from out.to_batches(max_chunksize=10_000)
 
