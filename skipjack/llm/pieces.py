@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skipjack.llm.common import slices
 
@@ -320,4 +321,4 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids_col: str = "ids") ->
             texts = [pieces.decode(x or []) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*fields, "text"])
 
-    return own.mapInArrow(run, own.schema.add("text", "string"))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("text", T.StringType())]))
