@@ -3,7 +3,7 @@
 Terms are words and the beginnings of words (4 to 6 bytes), so inflected forms of a stem meet. Fit, on a bounded sample
 of labelled rows (``examples`` per label, least hashes of the ids): choose the ``vocabulary`` terms whose presence tells
 the labels apart best (chi-square of at least ``least_chi``), count their document frequencies over the whole table, weigh every example by (1 + ln tf) * idf, and scale it to length one. Score: a text's ``neighbours``
-nearest examples vote with their cosine; the voted share is calibrated by a logistic curve fitted on leave-one-out votes
+nearest examples vote with their cosine, for or against; the mean vote is calibrated by a logistic curve fitted on leave-one-out votes
 of the examples, weighted to the labels' true shares. The neighbours are returned as evidence.
 
 Index: examples are ordered by label and strongest word and cut in blocks of 64. Every (word, block) pair with a posting holds the
@@ -120,8 +120,9 @@ class BlockMaxIndex:
         best = np.lexsort((ids, -got))[:k]
         return ids[best], got[best]
 
-    def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
-        return float((cosine * self.label[ids]).sum() / cosine.sum()) if len(ids) else 0.0
+    def vote(self, ids: np.ndarray, cosine: np.ndarray, neighbours: int = NEIGHBOURS) -> float:
+        """Mean signed cosine, -1 to 1: far neighbours count little, missing ones nothing."""
+        return float((cosine * (2 * self.label[ids] - 1)).sum() / neighbours)
 
     def score(self, vote: float) -> float:
         if not (self.label == 1).any() or not (self.label == 0).any():
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", examples:
     index.prior = prior
     if (label == 1).any() and (label == 0).any():
         by_id = {d: k for k, d in enumerate(ids.tolist())}
-        votes = np.array([index.vote(*index.nearest(*index.query(bags[by_id[int(d)]]), neighbours, skip=k)) for k, d in enumerate(index.ids)])
+        votes = np.array([index.vote(*index.nearest(*index.query(bags[by_id[int(d)]]), neighbours, skip=k), neighbours) for k, d in enumerate(index.ids)])
         y = index.label
         weight = np.where(y == 1, prior / (y == 1).mean(), (1 - prior) / (y == 0).mean())
         index.curve = logistic_curve(votes, y.astype(float), weight)
@@ -251,7 +252,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, neighbours: int = NEIG
                 scores, votes, shown = [], [], []
                 for text in as_bytes(part.column("text")):
                     ids, cosine = own.nearest(*own.query(words_of(text)), neighbours)
-                    votes.append(own.vote(ids, cosine))
+                    votes.append(own.vote(ids, cosine, neighbours))
                     scores.append(own.score(votes[-1]))
                     shown.append([{"doc_id": int(own.ids[i]), "label": int(own.label[i]), "cosine": float(c)} for i, c in zip(ids[:evidence], cosine[:evidence], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(shown, kind)], names=["doc_id", "score", "vote", "evidence"])
