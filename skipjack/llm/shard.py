@@ -1,9 +1,10 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
 Every input partition p has n_p rows, every output block b (a slot range of one shard) takes a fixed number of rows.
-How many rows go from p to b in a uniform random permutation follows a multivariate hypergeometric law, drawn
-exactly on the driver, row by row of the matrix (partitions x blocks integers). Each task permutes its rows locally and deals them
-out by its row of the matrix; after the exchange each block is permuted again. The result is a uniform shuffle with
+How many rows go from p to b in a uniform random permutation follows a multivariate hypergeometric law. The matrix
+is drawn exactly, but never held: a tree halves the range of partitions, each node splits its rows per block between its
+halves, and a task walks down to its own row (log2 of the partitions draws per block, the same in every task and
+attempt). Each task permutes its rows locally and deals them out by its row of the matrix; after the exchange each block is permuted again. The result is a uniform shuffle with
 exact shard sizes (law ``rows``: counts at most one apart).
 
 Shards larger than ``block_rows`` are cut in several blocks, so a task never holds a whole shard; blocks do not depend
@@ -41,15 +42,21 @@ def block_table(rows: int, shards: int, block_rows: int) -> list[tuple[int, int,
     return out
 
 
+def matrix_row(sources: np.ndarray, targets: np.ndarray, seed: int, p: int) -> np.ndarray:
+    """Rows from source p to each target; over all p the rows and columns have the given sums."""
+    before = np.concatenate(([0], np.cumsum(sources)))
+    low, high, held = 0, len(sources), np.asarray(targets, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        left = rng.multivariate_hypergeometric(held, int(before[middle] - before[low]), method="marginals")
+        low, high, held = (low, middle, left) if p < middle else (middle, high, held - left)
+    return held
+
+
 def communication_matrix(sources: list[int], targets: list[int], seed: int) -> np.ndarray:
-    """matrix[p, b]: rows from p to b; row and column sums are exact."""
-    rng = np.random.default_rng(seed)
-    left = np.array(targets, dtype=np.int64)
-    out = np.zeros((len(sources), len(targets)), dtype=np.int64)
-    for p, n in enumerate(sources):
-        out[p] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[p]
-    return out
+    """The whole matrix, for inspection and tests."""
+    return np.array([matrix_row(np.array(sources), np.array(targets), seed, p) for p in range(len(sources))])
 
 
 def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,14 +74,14 @@ def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = BLOCK_
     counts = {r["p"]: r["n"] for r in slim.mapInArrow(counted, "p int, n long").collect()}
     rows = sum(counts.values())
     blocks = block_table(rows, shards, block_rows)
-    order = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in order], [b[2] for b in blocks], seed)
-    dealt = spark.sparkContext.broadcast({p: (np.flatnonzero(row).astype(np.int32), row[np.flatnonzero(row)]) for p, row in zip(order, matrix, strict=True)})
+    order = {p: k for k, p in enumerate(sorted(counts))}
+    sent = spark.sparkContext.broadcast((order, np.array([counts[p] for p in order], np.int64)))
 
     def deal(batches):
         p = TaskContext.get().partitionId()
-        where, how_many = dealt.value.get(p, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
-        to = np.repeat(where, how_many)
+        place, sizes = sent.value
+        row = matrix_row(sizes, np.array([b[2] for b in block_table(rows, shards, block_rows)], np.int64), seed, place[p]) if p in place else np.zeros(0, np.int64)
+        to = np.repeat(np.arange(len(row), dtype=np.int32), row)
         np.random.default_rng([seed, 1, p]).shuffle(to)
         keys = np.random.default_rng([seed, 2, p]).integers(-(2**63), 2**63, len(to), dtype=np.int64)
         at = 0
@@ -92,5 +99,5 @@ def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = BLOCK_
     table = spark.createDataFrame([(b, *x[:2]) for b, x in enumerate(blocks)], "_block int, shard int, _first long")
     inner = Window.partitionBy("_block").orderBy("_key", "_p", "_row")
     out = docs.mapInArrow(deal, schema).withColumn("_slot", F.row_number().over(inner) - 1)
-    # One row per block; the matrix above, held by the driver, is larger by the number of partitions.
+    # One row per block of block_rows rows: a few hundred kilobytes for a billion rows.
     return out.join(F.broadcast(table), "_block").select(*names, "shard", (F.col("_first") + F.col("_slot")).cast("long").alias("slot"))
