@@ -8,9 +8,9 @@ buffer, read without copying. Beside it stands an index file (doc_id, offset in
 Files are written under an attempt's own name and renamed when they are whole, so a lost or repeated task leaves no
 part of a file. The folder must be one that all executors share.
 
-Distinct pre-tokens are given to the tokenizers library once and remembered up to a bound: the library's own byte-level
-rule cuts before it merges, so a text's ids are those of its pre-tokens in a row. Texts with other letters than
-Latin ones (or no such rule) go to the library whole. Control strings inside a text are ordinary text.
+A byte-level tokenizer's own rule cuts before every space that a non-space follows, so a text's ids are those of its
+space-led words in a row. Words are cut and numbered by Arrow; each distinct word of a slice is cut into its
+pre-tokens, and a pre-token goes to the library's model once and is remembered up to a bound. Texts with other spacing (or another rule) go to the library whole. Control strings inside a text are ordinary text.
 
 Defined cases: null texts are empty; an empty text has the end id alone; repeated rows are documents of their own (ties in id by text);
 null ids come first; an empty table gives no files and an empty result; other columns are ignored.
@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,52 +34,102 @@ from pyspark.sql import functions as F
 from skipjack.llm.common import scratch, slices, stored
 
 LENGTH, END_ID, BATCH = 1024, 0, 512
-REMEMBERED = 250_000
-#: The pre-token rule is for texts of ASCII and Latin letters; those with anything else go to the library whole.
-OTHER = re.compile(r"[^\x00-\x1B\x20-\x7F\xC0-\xD6\xD8-\xF6\xF8-ſ]")
+#: Pre-tokens remembered, and the longest one that is; bytes of text whose words are numbered together.
+REMEMBERED, LONGEST, SLICE = 250_000, 64, 16_000_000
+#: A space that another space (of any kind) or the end follows: RE2 text.
+LOOSE = r" ([\x09-\x0D\x1C-\x20\x{85}\p{Z}]|\z)"
+
+
+#: The pre-token rule is for ASCII and Latin letters; texts with anything else go to the library whole.
+OTHER = r"[^\x{00}-\x{1B}\x{20}-\x{7F}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]"
 LETTER = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-ſ"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
 class Tokens:
-    """Encodes texts with one tokenizer; remembers pre-tokens up to a bound."""
+    """Encodes texts with one tokenizer; each distinct word of a call once."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         state = self.own.pre_tokenizer.__getstate__() if self.own.pre_tokenizer else b""
-        self.cuts = self.own.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
+        special = all(t.special for t in self.own.get_added_tokens_decoder().values())
+        self.cuts = special and self.own.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
-        self.remembered, self.met, self.older = remembered, {}, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.model, self.met, self.older = self.own.model, {}, {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        offsets = np.append(0, ends * ids.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def _each(self, words: pa.Array) -> pa.Array:
+        own = self._whole(words.to_pylist())
+        return self._binary(np.concatenate([np.zeros(0, self.kind), *own]), np.cumsum([len(x) for x in own], dtype=np.int64))
+
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """Ids of each word (not empty) with a space before it."""
+        joined = " ".join(["", *words.to_pylist()])
+        # A space is in no word, so each pre-token that begins with one begins a word.
+        cut = SPLIT.findall(joined) if joined else []
+        found, met, older = dict.fromkeys(cut), self.met, self.older
+        tokenize, code, pack = self.model.tokenize, self.kind.char, struct.pack
+        for x in found:
+            ids = met.get(x)
+            if ids is None:
+                ids = older.get(x)
+                if ids is None:
+                    own = [t.id for t in tokenize(x.encode().decode("latin-1").translate(LETTERS))]
+                    ids = pack(f"<{len(own)}{code}", *own)
+                if len(x) <= LONGEST:
+                    met[x] = ids
+            found[x] = ids
+        if len(self.met) > REMEMBERED:  # frequent ones come back from the older half
+            self.older, self.met = self.met, {}
+        parts = [found[x] for x in cut]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // self.kind.itemsize
+        begins = np.fromiter((x[0] == " " for x in cut), bool, len(cut))
+        last = np.append(np.flatnonzero(begins)[1:], len(cut)) - 1 if len(cut) else np.zeros(0, np.int64)
+        return self._binary(np.frombuffer(b"".join(parts), self.kind), ends[last])
+
+    def encode(self, texts) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        loose = pc.match_substring_regex(texts, f"{LOOSE}|{OTHER}").to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
         out: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.cuts and not OTHER.search(t)]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for k, e in zip(rest, self.own.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, self.kind)
-        pack, code = struct.pack, self.kind.char
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            cut = [SPLIT.findall(texts[k]) for k in group]
-            # A small table of this group's pre-tokens: its look-ups stay in the processor's cache.
-            own = dict.fromkeys(set().union(*cut))
-            new = []
-            for x in own:
-                found = self.met.get(x) or self.older.get(x)
-                if found is None:
-                    new.append(x)
-                else:
-                    own[x] = self.met[x] = found
-            for x, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                own[x] = self.met[x] = pack(f"<{len(ids)}{code}", *ids)
-            for k, c in zip(group, cut, strict=True):
-                out[k] = np.frombuffer(b"".join([own[x] for x in c]), self.kind)
-            if len(self.met) > self.remembered:  # frequent ones come back from the older half
-                self.older, self.met = self.met, {}
+        for k, ids in zip(np.flatnonzero(loose).tolist(), self._whole(texts.filter(pa.array(loose)).to_pylist()), strict=True):
+            out[k] = ids
+        if loose.all():
+            return out
+        words = pc.split_pattern(texts.filter(pa.array(~loose)), " ")
+        starts = words.offsets.to_numpy()
+        # A text's first word has no space before it: such words are numbered behind the others.
+        first, rest = np.zeros(len(words.values), bool), words.values.dictionary_encode()
+        first[starts[:-1]] = True
+        heads = words.values.take(pa.array(starts[:-1])).dictionary_encode()
+        place, used = rest.indices.to_numpy(), np.zeros(len(rest.dictionary), bool)
+        used[place[~first]] = True
+        place = (np.cumsum(used, dtype=np.int32) - 1)[place]
+        place[first] = used.sum() + heads.indices.to_numpy()
+        flat = pa.concat_arrays([self._spaced(rest.dictionary.filter(pa.array(used))), self._each(heads.dictionary)]).take(pa.array(place))
+        ends = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4)[starts].tolist()
+        raw = memoryview(flat.buffers()[2] or b"")
+        for k, a, b in zip(np.flatnonzero(~loose).tolist(), ends, ends[1:], strict=False):
+            out[k] = np.frombuffer(raw[a:b], self.kind)
         return out
 
 
@@ -155,8 +206,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
         with store.open_output_stream(f"{names[0]}.{tag}") as sink:
             writer = FileWriter(sink, length, coder.kind)
             for batch in batches:
-                for piece in slices(batch, "text"):
-                    for found in coder.encode(piece.column("text").to_pylist()):
+                for piece in slices(batch, "text", SLICE):
+                    for found in coder.encode(piece.column("text")):
                         row = np.append(found, coder.kind.type(end_id))
                         writer.add(row)
                         offsets.append(total)
