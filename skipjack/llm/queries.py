@@ -19,6 +19,8 @@ from skipjack.llm.token_files import read_tokens, write_tokens
 SHARDS = 40
 #: Items with a window in a document from which it counts as contaminated.
 BENCHMARK_HITS = 2
+#: Batches of the window index: more than its fan-in, so that runs are compacted and met again after it.
+BATCHES = 6
 PIECES_MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
@@ -90,7 +92,7 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicate_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    found = deduplicate_substrings(table(spark, sf_dir, "documents"), batches=BATCHES, with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -7,8 +7,9 @@ A word goes if a window of 13 words that covers it also starts in a document wit
    anchors come from nine words). Documents whose words equal an earlier document's lose every word and go no further.
 2. Log-structured index. A batch's anchors become a run: (h, doc_id), hash-bucketed and sorted by h, never changed after
    it is written. Each new run is merge-joined with the runs before it (buckets line up, so no run is shuffled); an
-   anchor met in two documents is shared. Once there are more than ``fan_in`` runs they are compacted into one. The
-   index outlives the call, for later batches; a document comes in one batch.
+   anchor met in two documents is shared. Once there are more than ``fan_in`` runs they are compacted into one. An
+   index that is passed in outlives the call: it also keeps the texts and digests of each call, against which later calls
+   are verified. All it holds counts as earlier than what comes in, whatever the doc_ids; a document comes in one call.
 3. Verification. Only windows whose anchor is shared are looked at again, by a 128-bit hash of their words. A task first
    settles what it can among its own documents and sends one row per window, so a passage in a third of all documents
    makes a row per task, not per document. Nothing rests on the 64-bit anchors.
@@ -38,6 +39,8 @@ WINDOW, GRAM = 13, 6
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Stands for a null doc_id, below all others.
 NO_DOC = -(2**63)
+#: Row number of the documents of earlier calls, below all others.
+OLD = -1
 #: Rows of a list of row numbers that may be sent to every task (8 bytes each).
 BROADCAST_ROWS = 250_000
 
@@ -51,6 +54,9 @@ class FingerprintIndex:
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[tuple[str, str]] = []
         self.count = 0
+        #: Of each earlier call: digests (doc_id, a, b, n_words) and texts (doc_id, text) of its documents with windows.
+        self.calls: list[tuple[str, str]] = []
+        self.shape: tuple[int, int] | None = None
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = f"{self.path}/run-{self.count:05d}"
@@ -73,9 +79,23 @@ class FingerprintIndex:
         """Remove the whole index."""
         for name, _ in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+        self.runs, self.calls, self.shape = [], [], None
         remove(self.spark, self.path)
 
+    def keep(self, digests: DataFrame, texts: DataFrame) -> None:
+        """Store a call's documents, for the verification of later calls."""
+        pair = f"{self.path}/digests-{len(self.calls):05d}", f"{self.path}/texts-{len(self.calls):05d}"
+        for rows, path in zip((digests, texts), pair, strict=True):
+            rows.write.mode("overwrite").parquet(path)
+        self.calls.append(pair)
+
+    def history(self) -> tuple[DataFrame, DataFrame] | None:
+        """(digests, texts) of all calls so far."""
+        if not self.calls:
+            return None
+        digests, texts = zip(*self.calls, strict=True)
+        return self.spark.read.schema("doc_id long, a long, b long, n_words long").parquet(*digests), self.spark.read.schema("doc_id long, text string").parquet(*texts)
+
     def append(self, postings: DataFrame) -> DataFrame:
         """Add a batch's (h, doc_id); return the anchors it shares or makes shared (h, one row each)."""
         run = self._write(postings.select("h", "doc_id"))
@@ -132,8 +152,8 @@ def profile(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
 def _marks(held: DataFrame, size: int, gram: int) -> DataFrame:
     """held(doc_id, row, text, shared) -> (row, at): windows that also start in an earlier document.
 
-    Rows sent on: the task's first document of each window (a, b, doc_id, row, at), and what is already known to be late (a
-    random, b null).
+    Rows of earlier calls have row OLD; they come before all others and get no marks. Rows sent on: the task's first document
+    of each window (a, b, doc_id, row, at), and what is already known to be late (a random, b null).
     """
 
     def run(batches):
@@ -166,16 +186,20 @@ def _marks(held: DataFrame, size: int, gram: int) -> DataFrame:
                 continue
             pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             a, b, doc, row, at = pair[:, 0], pair[:, 1], np.concatenate(docs), np.concatenate(rows), np.concatenate(ats)
-            order = np.lexsort((doc, b, a))
+            order = np.lexsort((doc, row != OLD, b, a))
             a, b, doc, row, at = a[order], b[order], doc[order], row[order], at[order]
             fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-            first = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))]
-            late = doc > first
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
+            old = row == OLD
+            late = np.where(old[first], ~old, doc > doc[first])
+            sent = ~old | fresh
+            a, b, doc, row, at, late = a[sent], b[sent], doc[sent], row[sent], at[sent], late[sent]
             yield pa.RecordBatch.from_arrays([pa.array(np.where(late, row * 31 + at, a)), pa.array(b, mask=late), pa.array(doc), pa.array(row), pa.array(at)], names=["a", "b", "doc_id", "row", "at"])
 
     sent = held.mapInArrow(run, "a long, b long, doc_id long, row long, at int")
-    first = F.min("doc_id").over(Window.partitionBy("a", "b"))
-    return sent.withColumn("first", first).where("b is null or doc_id > first").select("row", "at")
+    same = Window.partitionBy("a", "b")
+    marked = sent.withColumn("first", F.min("doc_id").over(same)).withColumn("least", F.min("row").over(same))
+    return marked.where(f"row <> {OLD} and (b is null or least = {OLD} or doc_id > first)").select("row", "at")
 
 
 def cut(text: str, starts: np.ndarray, size: int) -> tuple[int, int, list[dict], str, str]:
@@ -223,12 +247,17 @@ def _removed(held: DataFrame, size: int) -> DataFrame:
 def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, row, n_words, n_removed, kept_sha256, spans (cut from the text; null: all of it) and, on demand, kept_text.
 
-    `row` numbers the rows of docs (monotonically_increasing_id over its partitions).
+    `row` numbers the rows of docs (monotonically_increasing_id over its partitions). With an index, what earlier calls
+    put in it counts as earlier than docs.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     own_index = index is None
     index = index or FingerprintIndex(spark)
+    if index.shape not in (None, (size, gram)):
+        raise ValueError(f"the index holds windows of {index.shape} words, not {(size, gram)}")
+    index.shape = size, gram
+    history = index.history()
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     path = scratch(spark, "profiles")
     profile(texts, size, gram).write.parquet(path)
@@ -237,13 +266,22 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     windowed = seen.where(F.col("n_words") >= size)
     # Whole copies of an earlier document: every window of theirs starts in it.
     firsts = windowed.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = stored(windowed.select("doc_id", "row", "a", "b", "n_words").join(firsts, ["a", "b", "n_words"]).where("doc_id > first").select("row"), "copies")
+    copied = windowed.select("doc_id", "row", "a", "b", "n_words").join(firsts, ["a", "b", "n_words"]).where("doc_id > first").select("row")
+    if history:
+        copied = copied.unionByName(windowed.select("row", "a", "b", "n_words").join(history[0].drop("doc_id").distinct(), ["a", "b", "n_words"]).select("row")).distinct()
+    copies = stored(copied, "copies")
     # Sent around only while their checked number is small; otherwise joined by a shuffle.
     sent = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     single = full.where(F.col("n_words") >= size).select("doc_id", "row", "h").join(sent, "row", "left_anti")
     # Batches by doc_id, so that what the index holds is older than what comes in.
     edges = [] if batches < 2 else windowed.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = sorted(set(edges))
+    if not own_index:  # before the anchors: a run without texts could not be verified
+        own = windowed.select("doc_id", "row", "a", "b", "n_words").join(sent, "row", "left_anti")
+        index.keep(own.drop("row"), texts.join(own.select("doc_id", "row"), ["doc_id", "row"]).select("doc_id", "text"))
+        if spark.read.parquet(index.calls[-1][1]).count() != own.count():
+            index.calls.pop()
+            raise RuntimeError("the source gave other partitions on its second reading; store it first")
     shared = None
     for k in range(len(edges) + 1):
         batch = single
@@ -259,6 +297,8 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     shared = shared.distinct() if edges else shared
     # Unique keys on the right: a frequent anchor makes one row per document that has it.
     lists = stored(index.postings(shared).groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
+    if history:
+        earlier = stored(history[1].join(lists, "doc_id").select("doc_id", F.lit(OLD).cast("long").alias("row"), "text", "shared"), "earlier-texts")
     remove(spark, path)
     if own_index:
         index.drop()
@@ -270,7 +310,8 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     if held.count() != wanted:
         raise RuntimeError("the source gave other partitions on its second reading; store it first")
     release(spark)
-    starts = stored(_marks(held, size, gram).groupBy("row").agg(F.collect_set("at").alias("starts")), "removals")
+    compared = held.select("doc_id", "row", "text", "shared")
+    starts = stored(_marks(compared.unionByName(earlier) if history else compared, size, gram).groupBy("row").agg(F.collect_set("at").alias("starts")), "removals")
     release(spark)
     removed = _removed(held.select("row", "text").join(starts, "row"), size)
     removed = stored(removed if with_text else removed.drop("cut_text"), "removed")

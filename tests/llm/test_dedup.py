@@ -124,6 +124,29 @@ def test_index_is_incremental_and_compacts(spark, docs):
     assert shared == want
 
 
+def test_later_calls_meet_what_the_index_holds(spark, docs):
+    """Two calls with one index give what a brute-force run over all documents gives."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    index = substring.FingerprintIndex(spark, buckets=3, fan_in=2)
+    got = []
+    for part in ("doc_id < 90", "doc_id >= 90"):
+        out = substring.deduplicate_substrings(docs.where(part), index=index).collect()
+        got += [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out]
+    assert sorted(got) == brute_cut(rows)
+    assert sum(n for d, _, n, _ in got if d >= 90) > sum(n for _, _, n, _ in brute_cut([r for r in rows if r[0] >= 90]))
+    # Whatever its id: a passage and a whole text of the first calls, and words of its own.
+    old = next(t for d, t in rows if d == 0)
+    fresh = " ".join(f"w{k}" for k in range(20))
+    late = spark.createDataFrame([(-5, f"{fresh} {old}"), (None, old), (-4, fresh)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in substring.deduplicate_substrings(late, index=index).collect()}
+    assert out[-5]["n_removed"] == len(old.split()) and out[-5]["kept_text"].split() == fresh.split()
+    assert out[None]["n_removed"] == out[None]["n_words"] == len(old.split())
+    assert out[-4]["n_removed"] == 20
+    with pytest.raises(ValueError):
+        substring.deduplicate_substrings(late, index=index, size=8)
+    index.drop()
+
+
 def brute_hits(rows, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
