@@ -244,10 +244,10 @@ def _removed(held: DataFrame, size: int) -> DataFrame:
     return held.select("row", "text", "starts").mapInArrow(run, "row long, gone long, kept string, cut_spans array<struct<start:int,end:int>>, cut_text string")
 
 
-def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, row_col: str | None = None) -> DataFrame:
     """doc_id, row, n_words, n_removed, kept_sha256, spans (cut from the text; null: all of it) and, on demand, kept_text.
 
-    `row` numbers the rows of docs (monotonically_increasing_id over its partitions). With an index, what earlier calls
+    `row` is row_col (distinct numbers from 0 on) or else numbers the rows of docs (monotonically_increasing_id over its partitions). With an index, what earlier calls
     put in it counts as earlier than docs.
     """
     spark = docs.sparkSession
@@ -258,7 +258,7 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
         raise ValueError(f"the index holds windows of {index.shape} words, not {(size, gram)}")
     index.shape = size, gram
     history = index.history()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"))
     path = scratch(spark, "profiles")
     profile(texts, size, gram).write.parquet(path)
     full = spark.read.parquet(path)
