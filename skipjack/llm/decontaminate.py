@@ -9,7 +9,7 @@ The automaton is the only thing sent to the executors. Its size is checked: a be
 what a task holds is bounded and no pattern is left out.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items have no pattern; an item_id met twice
-counts once; equal windows of several items count for each; repeated document rows are judged one by one; an empty
+counts once; items without an id are patterns too and count together as one item, null, last in `items`; equal windows of several items count for each; repeated document rows are judged one by one; an empty
 benchmark leaves every document clean; other columns are ignored.
 """
 
@@ -37,14 +37,19 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def patterns(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[bytes, list[str]]:
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Sorted item ids, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
+def patterns(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict[bytes, list[str | None]]:
     """Pattern (with a space at either end) -> sorted item ids."""
-    found: dict[bytes, set[str]] = {}
+    found: dict[bytes, set[str | None]] = {}
     for item, text in items:
         words = normal_words(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
             found.setdefault(b" " + b" ".join(words[at : at + window]) + b" ", set()).add(item)
-    return {k: sorted(v) for k, v in found.items()}
+    return {k: in_order(v) for k, v in found.items()}
 
 
 _built: dict = {}
@@ -68,7 +73,7 @@ def automaton(key: str, table: list[tuple[bytes, list[str]]]):
 def hits(machine, text: bytes) -> tuple[int, np.ndarray, set[str]]:
     """(number of words, numbers of the hit words, items) of one text."""
     words = normal_words(text)
-    items: set[str] = set()
+    items: set[str | None] = set()
     if not words or not len(machine):
         return len(words), np.zeros(0, np.int64), items
     line = " " + b" ".join(words).decode("latin-1") + " "
@@ -102,7 +107,7 @@ def _scan(docs: DataFrame, table: list[tuple[bytes, list[str]]], key: str) -> Da
                 out = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
                     n, numbers, items = hits(machine, text)
-                    out.append((doc, n, len(numbers), sorted(items), original_spans(text.decode("utf-8", "surrogatepass"), numbers) if len(numbers) else []))
+                    out.append((doc, n, len(numbers), in_order(items), original_spans(text.decode("utf-8", "surrogatepass"), numbers) if len(numbers) else []))
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
@@ -113,9 +118,9 @@ def _scan(docs: DataFrame, table: list[tuple[bytes, list[str]]], key: str) -> Da
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) and spans (original character offsets of hit words), one row per input row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     chunks: list[list[tuple[bytes, list[str]]]] = []
-    held: list[tuple[str, bytes]] = []
+    held: list[tuple[str | None, bytes]] = []
     size = 0
     # Items stream to the driver one by one; whole items stay together, so no window is cut.
     for row in items.toLocalIterator(prefetchPartitions=True):

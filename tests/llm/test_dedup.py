@@ -179,6 +179,26 @@ def test_contamination(spark, docs, limit):
         assert words == r["n_hit"]
 
 
+@pytest.mark.parametrize("limit", [10**6, 10])
+def test_benchmark_items_without_an_id(spark, limit):
+    """They are hit like any other, as OP5_SQL has it: together one item, without a name."""
+    duckdb = pytest.importorskip("duckdb")
+    from skipjack.llm.queries import OP5_SQL
+
+    say = lambda *spans: " ".join(f"w{k}" for a, z in spans for k in range(a, z))
+    rows = [(1, say((0, 20))), (2, say((5, 30), (100, 115))), (3, say((200, 230))), (4, say((100, 120))), (5, None)]
+    items = [(None, say((0, 12))), (None, say((20, 30))), ("7", say((100, 112))), ("8", say((300, 310)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), max_patterns=limit).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(i for i in r["items"] if i is not None).encode()).hexdigest()) for r in out)
+    with duckdb.connect() as db:
+        for name, columns, table in (("documents", "doc_id BIGINT, text VARCHAR", rows), ("benchmark", "item_id VARCHAR, text VARCHAR", items)):
+            db.execute(f"CREATE TABLE {name} ({columns})")
+            db.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+        assert got == sorted(r[:5] for r in db.execute(OP5_SQL).fetchall())
+    assert [r[2:4] for r in got] == [(12, 1), (22, 2), (0, 0), (12, 1), (0, 0)]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
