@@ -187,3 +187,11 @@ def test_training():
     model, m = train(x, (x[:, 0] > 50).astype(int), ["a", "b"], classes=2, hidden=(8,), epochs=60)
     assert m["accuracy"] > 0.9 and model.predict(x[:3]).shape == (3,)
     assert metrics(np.array([1, 2]), np.array([1, 3]), 3) == {"accuracy": 0.5}
+
+
+def test_rows_per_block_lists_every_block(spark, tmp_path):
+    from skipjack.plans import queries as qs
+
+    spark.range(0, 120_050, 1, 3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["block_id"]: r["n_rows"] for r in qs.A10_rows_per_block(spark, str(tmp_path)).collect()}
+    assert got == {k: 100 for k in range(1200)} | {1200: 50}
