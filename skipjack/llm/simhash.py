@@ -3,15 +3,23 @@
 Fingerprints (64 bits, each bit the majority of the shingles' XXH64) link if at most three bits differ. Equal
 fingerprints are folded first, so copies cost one entry. The distinct ones are routed: of four 16-bit blocks one is
 equal in both ends of a link, and of the four 12-bit blocks of the rest again one, so each fingerprint goes to 16
-buckets of 28 equal bits and every link meets in at least one of them. In a bucket the fingerprints are
+buckets of 28 equal bits and every link meets in at least one of them; a bucket with more than ``BUCKET_ROWS``
+fingerprints is dealt on by the same rule over its free bits. In a bucket the fingerprints are
 sorted by Gray rank; groups of neighbours form nodes that hold the bits all members share (mask and value), nodes form
 upper nodes. Pairs of nodes are followed down from the top: the shared bits in which two nodes differ are a lower bound
 that only grows on the way, so whole groups are pruned; node pairs already joined are not followed again. A bucket gives a spanning
 set of links (at most one per entry), never its pairs.
 
-Defined cases: null and blank texts have no shingles and fingerprint zero, linked like any other; one or two words are
-one shingle; repeated rows and ids fall in one group; null ids get a fingerprint and the group's least id;
-an empty table gives an empty result; other columns are ignored.
+Three bits hold only the closest copies: shingle sets of a Jaccard similarity of 0.8 differ in about nine of the 64
+bits, too many for any routing. With ``similarity`` such copies are linked as well: a document's shingles are sampled
+by least hashes (``SAMPLES`` times ``DRAWN`` of them), documents with an equal sample are compared with the
+sample's first document, and linked if the exact Jaccard similarity of their shingle sets is at least that. Nothing
+is linked unseen; a pair at 0.8 is not met with a probability of (1 - 0.8 ** DRAWN) ** SAMPLES, under 0.001, as long as one of
+the two is first in its samples.
+
+Defined cases: null and blank texts have no shingles and fingerprint zero, linked like any other; fewer words than a shingle has are
+one shingle; repeated rows fall in one group; rows that repeat an id with another text are each grouped by their own; null ids get a
+fingerprint and the group's least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skipjack.llm.common import as_bytes, release, slices, stored
+from skipjack.llm.common import BROADCAST_ROWS, as_bytes, forget, join_unique, release, slices, stored
 from skipjack.llm.components import connected_components
-from skipjack.llm.windows import Words
+from skipjack.llm.windows import Words, mixed
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 FAN = 8
-CHUNK = 1 << 19
+#: Pairs of nodes, or of fingerprints, compared at once; fingerprints of a bucket.
+CHUNK, BUCKET_ROWS = 1 << 19, 1 << 16
+#: Samples of a document's shingles, and shingles in a sample; documents compared with one text at a time.
+SAMPLES, DRAWN, COMPARED = 10, 3, 2000
 
 
-def _fingerprints_of(texts: list[bytes], size: int) -> np.ndarray:
+def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of every shingle as 8 bytes, number of shingles of each text)."""
     import xxhash
 
     words = Words([t.lower() for t in texts])
@@ -43,29 +55,53 @@ def _fingerprints_of(texts: list[bytes], size: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + words.bounds[:-1][owner]
     last = at + np.minimum(count[owner], size) - 1
-    out = np.zeros(len(texts), np.uint64)
-    if not len(at):
-        return out
     digest = xxhash.xxh64_digest
     keys = b"".join([digest(line[s:e], SEED) for s, e in zip(begin[at].tolist(), end[last].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(keys, np.uint8).reshape(-1, 8), axis=1)
+    return np.frombuffer(keys, np.uint8).reshape(-1, 8), n
+
+
+def _majorities(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(n), np.uint64)
     first = np.cumsum(n) - n
     for k in np.flatnonzero(n):
-        ones = bits[first[k] : first[k] + n[k]].sum(axis=0, dtype=np.int32)
+        # One text's bits at a time: a long text takes 64 bytes a shingle.
+        ones = np.unpackbits(keys[first[k] : first[k] + n[k]], axis=1).sum(axis=0, dtype=np.int32)
         out[k] = np.packbits(2 * ones > n[k]).view(">u8")[0]
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) per row."""
+def _samples(keys: np.ndarray, n: np.ndarray, samples: int = SAMPLES, drawn: int = DRAWN) -> np.ndarray:
+    """(texts with shingles, samples): a key per sample of least hashes under seeded orders."""
+    full = np.flatnonzero(n)
+    h = keys.view(">u8").ravel().astype(np.uint64)
+    first = (np.cumsum(n) - n)[full]
+    odd = np.random.default_rng(SEED).integers(0, 2**63, (samples, drawn + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(full), samples), np.uint64)
+    for s in range(samples):
+        for d in range(drawn):
+            out[:, s] += np.minimum.reduceat(mixed(h * odd[s, d]), first) * odd[s, (d + 1)]
+    return mixed(out)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, row_col: str | None = None, sampled: bool = False) -> DataFrame:
+    """(doc_id, row, fp long, samples array) per row; no samples unless asked for."""
+    kind = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fp = _fingerprints_of(as_bytes(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                keys, n = _shingles(as_bytes(part.column("text")), size)
+                drawn = _samples(keys, n).view(np.int64) if sampled and n.any() else np.zeros((0, SAMPLES), np.int64)
+                per = np.where(n > 0, SAMPLES, 0) if len(drawn) else np.zeros(len(n), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(drawn.ravel())).cast(kind)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(_majorities(keys, n).view(np.int64)), lists], names=["doc_id", "row", "fp", "samples"])
+
+    return _texts(docs, id_col, text_col, row_col).mapInArrow(run, "doc_id long, row long, fp long, samples array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -105,13 +141,13 @@ class GrayIndex:
         """The least member (by place) each member reaches over links of at most `distance` bits in its bucket."""
         label = np.arange(len(self.fp))
         top = len(self.mask) - 1
-        sizes = [np.zeros(0)]
         roots = np.arange(len(self.mask[top]))
         stack = [(top, roots, roots)] if top else []
         spans = self._labels(label)
         while stack:
             level, a, b = stack.pop()
-            if len(a) > CHUNK:
+            # A pair of nodes has up to fan * fan pairs of children.
+            if len(a) > (max(1, CHUNK // self.fan**2) if level else CHUNK):
                 half = len(a) // 2
                 stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
                 continue
@@ -133,7 +169,6 @@ class GrayIndex:
                 if apart.any():
                     label = united(label, a[apart], b[apart])
                     spans = self._labels(label)
-        del sizes
         return label
 
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,38 +191,72 @@ class GrayIndex:
 
 
 def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the sets of a and b; labels are least members."""
-    label = label.copy()
+    """Join the sets of a and b; labels are least members. Only the sets met are worked on, then renamed in one pass."""
+    roots, place = np.unique(np.concatenate((label[a], label[b])), return_inverse=True)
+    x, y, own = place[: len(a)], place[len(a) :], np.arange(len(roots))
     while True:
-        x, y = label[a], label[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
+        low, high = np.minimum(own[x], own[y]), np.maximum(own[x], own[y])
         if (low == high).all():
-            return label
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
-def _keys(fp: Column) -> Column:
-    """The 16 bucket keys of a fingerprint: block number, 16 equal bits, sub-block number, 12 equal bits."""
-    keys = []
-    for a in range(4):
-        own = F.shiftrightunsigned(fp, 16 * a).bitwiseAND(F.lit(0xFFFF))
-        low = fp.bitwiseAND(F.lit((1 << (16 * a)) - 1))
-        rest = low if a == 3 else F.shiftleft(F.shiftrightunsigned(fp, 16 * a + 16), 16 * a).bitwiseOR(low)
-        for s in range(4):
-            sub = F.shiftrightunsigned(rest, 12 * s).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.shiftleft(own, 12).bitwiseOR(sub).bitwiseOR(F.lit((4 * a + s) << 28)))
-    return F.array(*keys)
-
-
-def bucket_links(distinct: DataFrame) -> DataFrame:
+            break
+        np.minimum.at(own, high, low)
+        while (own[own] != own).any():
+            own = own[own]
+    new = np.arange(len(label))
+    new[roots] = roots[own]
+    return new[label]
+
+
+def submasks(mask: int, groups: int) -> list[int]:
+    """The mask's free bits dealt into groups of neighbours, low bits first; each group joined to the mask."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // groups for k in range(groups + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _routes(masks: list[int], number: Column | None = None, groups: int = 1) -> Column:
+    """(m, key) of a fingerprint for every mask, or for the `groups` masks that follow from mask `number`."""
+    key = lambda i: F.struct(F.lit(i).alias("m"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(masks[i])))).alias("key"))
+    if number is None:
+        return F.array(*[key(i) for i in range(len(masks))])
+    of = F.array(*[F.lit(_signed(x)) for x in masks])
+    child = lambda k: (number * groups + k).cast("int")
+    return F.array(*[F.struct(child(k).alias("m"), F.xxhash64(child(k), F.col("fp").bitwiseAND(F.element_at(of, child(k) + 1))).alias("key")) for k in range(groups)])
+
+
+def bucketed(distinct: DataFrame, distance: int = DISTANCE, most: int = BUCKET_ROWS) -> DataFrame:
+    """distinct(fp) -> (fp, key): every link meets in a bucket, and no bucket holds more than `most` fingerprints.
+
+    A bucket above `most` is dealt on: its fingerprints differ in at most `distance` of the bits that are still free, so
+    of distance + 1 groups of these one is equal. Free bits run out at some depth, and so does the room for a hot bucket.
+    """
+    groups = distance + 1
+    most = max(most, 1 << groups)  # from here on no group of free bits is empty
+    masks = [m for top in submasks(0, groups) for m in submasks(top, groups)]
+    routed = distinct.select("fp", F.explode(_routes(masks)).alias("r")).select("fp", "r.m", "r.key")
+    if distinct.count() <= most:
+        return routed.select("fp", "key")
+    done = None
+    while True:
+        hot = stored(routed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("m", "key"), "hot-buckets")
+        # At most rows / most keys.
+        few = hot.count()
+        sent = F.broadcast(hot) if few <= BROADCAST_ROWS else hot
+        cool = (routed.join(sent, ["m", "key"], "left_anti") if few else routed).select("fp", "key")
+        done = cool if done is None else done.unionByName(cool)
+        if not few:
+            return done
+        masks = [m for top in masks for m in submasks(top, groups)]
+        routed = routed.join(sent, ["m", "key"], "left_semi").select("fp", F.explode(_routes(masks, F.col("m"), groups)).alias("r")).select("fp", "r.m", "r.key")
+
+
+def bucket_links(distinct: DataFrame, distance: int = DISTANCE, most: int = BUCKET_ROWS) -> DataFrame:
     """distinct(fp) -> (u, v): links that span every bucket's linked sets."""
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key")).repartition(n, "key").sortWithinPartitions("key")
+    routed = bucketed(distinct, distance, most).repartition(n, "key").sortWithinPartitions("key")
 
     def solve(key: np.ndarray, fp: np.ndarray):
         lone = np.concatenate(([True], key[1:] != key[:-1])) & np.concatenate((key[1:] != key[:-1], [True]))
@@ -195,7 +264,7 @@ def bucket_links(distinct: DataFrame) -> DataFrame:
         if not len(key):
             return None
         index = GrayIndex(key, fp.view(np.uint64))
-        label = index.links()
+        label = index.links(distance)
         joined = label != np.arange(len(label))
         u, v = index.fp[joined].view(np.int64), index.fp[label[joined]].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -213,19 +282,76 @@ def bucket_links(distinct: DataFrame) -> DataFrame:
         if len(key) and (out := solve(key, fp)) is not None:
             yield out
 
-    return routed.mapInArrow(run, "u long, v long")
+    return routed.select("fp", "key").mapInArrow(run, "u long, v long")
+
+
+def alike(one: list[bytes], other: list[bytes], size: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each pair of texts; two empty sets: 1."""
+    keys, n = _shingles([*one, *other], size)
+    pair = np.repeat(np.arange(len(n)) % len(one), n)
+    side = np.repeat(np.arange(len(n)) >= len(one), n)
+    h = keys.view(">u8").ravel().astype(np.uint64)
+    order = np.lexsort((side, h, pair))
+    pair, side, h = pair[order], side[order], h[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])))[: len(h)]
+    both = np.concatenate(([False], (h[1:] == h[:-1]) & (pair[1:] == pair[:-1]) & (side[1:] != side[:-1])))[: len(h)]
+    total, shared = np.bincount(pair[new], minlength=len(one)), np.bincount(pair[both], minlength=len(one))
+    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+
+
+def sample_links(texts: DataFrame, firsts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (u, v) between fingerprints whose texts are alike: texts(doc_id, text, row), firsts(fp, row, id, samples), one row per fingerprint."""
+    drawn = firsts.select("fp", "row", F.posexplode("samples").alias("s", "key"))
+    groups = stored(drawn.groupBy("s", "key").agg(F.min("row").alias("to"), F.count("*").alias("n")).where("n > 1"), "sample-groups")
+    pairs = stored(join_unique(drawn, groups, ["s", "key"]).where(F.col("row") != F.col("to")).select("row", "to").distinct(), "sample-pairs")
+    met = stored(pairs.select("row").unionByName(pairs.select(F.col("to").alias("row"))).distinct(), "sampled-rows")
+    # All columns of the first reading, so that the rows are numbered alike.
+    held = stored(firsts.select("fp", "row", "id").join(met, "row").join(texts, "row"), "sampled-texts")
+    if held.where(F.col("id").eqNullSafe(F.col("doc_id"))).count() != met.count():
+        raise RuntimeError("the source gave other partitions on its second reading; store it first")
+    forget(groups, met)
+    # A text that many are compared with is sent once per COMPARED of them, each time to another task.
+    per = stored(pairs.groupBy("to").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / COMPARED)), "sample-firsts")
+    first = per.select(F.col("to").alias("row"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(held, "row")
+    first = first.select(F.col("row").alias("to"), F.col("part").cast("long").alias("part"), F.col("fp").alias("v"), F.col("text").alias("other"))
+    dealt = join_unique(pairs, per, ["to"]).select("row", "to", F.pmod(F.xxhash64("row"), F.col("parts")).cast("long").alias("part"))
+    compared = dealt.join(held.select("fp", "row", "text"), "row").join(first, ["to", "part"]).select(F.col("fp").alias("u"), "v", "text", "other")
 
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp long, fingerprint (16 hex digits), component_id (least doc_id of the group) per row."""
-    own = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    per_fp = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = stored(bucket_links(per_fp.select("fp")).distinct(), "links")
-    release(docs.sparkSession)
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "other", 2_000_000):
+                for piece in slices(part, "text", 2_000_000):
+                    near = alike(as_bytes(piece.column("text")), as_bytes(piece.column("other")), size) >= similarity
+                    yield piece.select(["u", "v"]).filter(pa.array(near))
+
+    links = stored(compared.mapInArrow(run, "u long, v long"), "sample-links")
+    forget(pairs, held, per)
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None, row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fp long, fingerprint (16 hex digits), component_id (least doc_id of the group) per row.
+
+    `row` is row_col (distinct numbers) or else numbers the rows of docs over its partitions.
+    """
+    spark = docs.sparkSession
+    own = stored(fingerprints(docs, id_col, text_col, size, row_col, similarity is not None), "fingerprints")
+    first = [F.min("row").alias("row"), F.min_by("doc_id", "row").alias("id"), F.min_by("samples", "row").alias("samples")] if similarity is not None else []
+    per_fp = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), *first), "distinct-fingerprints")
+    found = bucket_links(per_fp.select("fp"), distance)
+    if similarity is not None:
+        found = found.unionByName(sample_links(_texts(docs, id_col, text_col, row_col), per_fp, similarity, size))
+    links = stored(found.distinct(), "links")
+    release(spark)
     roots = connected_components(links)
-    rooted = per_fp.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stored(rooted.join(of_root, "root").select("fp", "component_id"), "groups")
-    release(docs.sparkSession)
-    out = own.join(groups, "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    forget(links)
+    rooted = stored(per_fp.select("fp", "least").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    of_root = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
+    groups = stored(join_unique(rooted, of_root, ["root"]).select("fp", "component_id"), "groups")
+    forget(rooted, of_root, roots)
+    # A fingerprint may belong to a third of all rows.
+    counted = stored(own.groupBy("fp").agg(F.count("*").alias("n")).join(groups, "fp"), "groups")
+    forget(groups, per_fp)
+    release(spark)
+    out = join_unique(own.select("doc_id", "row", "fp"), counted, ["fp"])
+    return out.select("doc_id", "row", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -80,10 +80,96 @@ def test_gray_index_against_brute_force():
     assert (got == want).all()
 
 
+def test_a_hot_bucket_is_dealt_on(spark):
+    """Fingerprints around one centre and their neighbours' neighbours: no bucket above the bound, no link lost."""
+    rng = np.random.default_rng(8)
+    centre, fps = 0x0123456789ABCDEF, set()
+    while len(fps) < 700:
+        x = centre
+        for k in rng.integers(0, 64, int(rng.integers(0, 8))):
+            x ^= 1 << int(k)
+        fps.add(x - (1 << 64) if x >> 63 else x)
+    fps = sorted(fps)
+    distinct = spark.createDataFrame([(x,) for x in fps], "fp long")
+    dealt = simhash.bucketed(distinct, most=32)
+    assert dealt.groupBy("key").count().agg({"count": "max"}).first()[0] <= 32
+    assert simhash.bucketed(distinct).count() == 16 * len(fps)
+    links = simhash.bucket_links(distinct, most=32).collect()
+    own = np.array(fps, np.int64).view(np.uint64)
+    near = np.bitwise_count(own[:, None] ^ own[None, :]) <= 3
+
+    def settle(joined):
+        label = np.arange(len(fps))
+        while True:
+            new = np.array([label[joined[i]].min() for i in range(len(fps))])
+            if (new == label).all():
+                return label
+            label = new
+
+    place = {x: k for k, x in enumerate(fps)}
+    linked = np.eye(len(fps), dtype=bool)
+    for r in links:
+        linked[place[r["u"]], place[r["v"]]] = linked[place[r["v"]], place[r["u"]]] = True
+    assert (settle(linked) == settle(near)).all()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
-    got = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
+    frame = spark.createDataFrame(edges, "u long, v long")
+    want = {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
+    assert {r["u"]: r["root"] for r in connected_components(frame).collect()} == want
+    with pytest.raises(RuntimeError):
+        connected_components(frame, max_rounds=1)
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    from skipjack.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    edges = [(500 - k, 999) for k in range(60)] + [(k, k + 1) for k in range(20)] + [(20, 999)]
+    got = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), heavy=5).collect()}
+    assert got == {k: 0 for k in [*range(1, 21), *range(441, 501), 999]}
+    right = common.stored(spark.createDataFrame([(1, 9, "a"), (2, 2, "b"), (3, 1, "c")], "k long, n long, x string"), "right")
+    left = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 0), (2, 1), (3, 0), (4, 0)], "k long, i long")
+    want = sorted([(1, i, "a") for i in range(9)] + [(2, 0, "b"), (2, 1, "b"), (3, 0, "c")])
+    for heavy in (0, 3, 100):
+        assert sorted(tuple(r) for r in common.join_unique(left, right, ["k"], heavy=heavy).collect()) == want
+
+
+def shingle_set(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def test_near_copies_by_similarity(spark):
+    """Five-word shingles, similarity 0.8 or more: the groups that all pairs give."""
+    rng = np.random.default_rng(4)
+    long = " ".join(f"l{k}" for k in range(20_000))
+    vocabulary, rows = [f"v{k}" for k in range(300)], []
+    for k in range(40):
+        words = rng.choice(vocabulary, int(rng.integers(60, 200))).tolist()
+        rows.append((k * 100 + 50, " ".join(words)))
+        for j in range(int(rng.integers(0, 4))):
+            other = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(1, 2 + len(words) // 25))):
+                other[at] = f"x{k}{j}{at}"
+            rows.append((k * 100 + 51 + j, " ".join(other).upper() if j == 2 else " ".join(other)))
+    rows += [(9000, None), (9001, ""), (9002, "one two"), (9003, "One  two"), (9004, "one two three"), (50, rows[3][1]), (None, rows[0][1]), (9005, long), (9006, long + " end")]
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, row int, samples string").repartition(4)
+    out = simhash.near_duplicates(docs, size=5, similarity=0.8).collect()
+    sets = [shingle_set(t) for _, t in rows]
+    like = np.array([[(a == b) if not (a or b) else len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    ids = [d for d, _ in rows]
+    label = np.array([10**6 if d is None else d for d in ids])
+    for _ in range(len(rows)):
+        label = np.array([label[like[i]].min() for i in range(len(rows))])
+    want = sorted((d or -1, int(c)) for d, c in zip(ids, label, strict=True))
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in out)
+    groups = lambda pairs: sorted(sorted(d for d, x in pairs if x == c) for c in {c for _, c in pairs})
+    # A repeated id lies in two groups of texts: compare by the others.
+    alone = {d for d in ids if ids.count(d) == 1 and d is not None}
+    assert groups([p for p in got if p[0] in alone]) == groups([p for p in want if p[0] in alone])
+    assert len(got) == len(rows) and len({c for _, c in got}) < len(rows) - 20
 
 
 def brute_cut(rows, size=13):
@@ -114,14 +200,60 @@ def test_substring_removal(docs, batches):
 
 def test_index_is_incremental_and_compacts(spark, docs):
     index = substring.FingerprintIndex(spark, buckets=3, fan_in=1)
-    posts = spark.createDataFrame(substring.profile(docs.selectExpr("doc_id", "text", "1L row")).selectExpr("explode(h) h", "doc_id").collect(), "h long, doc_id long")
-    half = [posts.where(f"doc_id % 3 = {k}") for k in range(3)]
+    posts = spark.createDataFrame(substring.profile(docs.selectExpr("doc_id", "text", "monotonically_increasing_id() row")).selectExpr("explode(h) h", "0 call", "row").collect(), "h long, call int, row long")
     shared = set()
-    for x in half:
-        shared |= {r["h"] for r in index.append(x).collect()}
-    assert len(index.runs) == 1
-    want = {r["h"] for r in posts.groupBy("h").agg({"doc_id": "min"}).join(posts.groupBy("h").agg({"doc_id": "max"}), "h").where("`min(doc_id)` < `max(doc_id)`").collect()}
+    for k in range(3):
+        shared |= {r["h"] for r in index.append(posts.where(f"row % 3 = {k}")).collect()}
+    assert len(index.runs) == 1 and len(index.merged) == 4
+    index.sweep()
+    want = {r["h"] for r in posts.groupBy("h").agg({"row": "min"}).join(posts.groupBy("h").agg({"row": "max"}), "h").where("`min(row)` < `max(row)`").collect()}
     assert shared == want
+    assert sorted(tuple(r) for r in index.postings().collect()) == sorted(tuple(r) for r in posts.collect())
+
+
+def test_folding_loses_no_shared_anchor(spark):
+    rows = [(1, 0, [5, 6]), (1, 1, [5, 9]), (2, 2, [6, 7]), (3, 3, []), (4, 4, [8])]
+    out = substring.fold(spark.createDataFrame(rows, "doc_id long, row long, h array<long>").coalesce(1)).collect()
+    post = sorted(h for r in out for h in r["post"])
+    assert post == [5, 6, 7, 8, 9]
+    assert {r["row"]: sorted(r["own"]) for r in out} == {0: [5, 6], 1: [5], 2: [6], 3: [], 4: []}
+
+
+def test_an_index_is_opened_again(spark, docs, tmp_path):
+    """A later session continues from the folder; a call that breaks off changes nothing."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    path = str(tmp_path / "index")
+    got = []
+    for k, part in enumerate(("doc_id < 60", "doc_id >= 60 AND doc_id < 120", "doc_id >= 120")):
+        index = substring.FingerprintIndex(spark, path, fan_in=1)
+        assert len(index.calls) == k
+        out = substring.deduplicate_substrings(docs.where(part), index=index).collect()
+        got += [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out]
+        before = (index.runs, index.count, index.calls)
+        with pytest.raises(Exception, match="evaluated"):
+            substring.deduplicate_substrings(docs.selectExpr("doc_id", "CASE WHEN doc_id = 3 THEN raise_error('evaluated') ELSE text END AS text"), index=index)
+        assert (index.runs, index.count, index.calls) == before
+        for run in index.runs:  # a new session knows no table of it
+            spark.sql(f"DROP TABLE IF EXISTS {index._name(run)}")
+    assert sorted(got) == brute_cut(rows)
+    substring.FingerprintIndex(spark, path).drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_hot_passages_and_copies(spark, monkeypatch):
+    """A passage in a third of all rows, whole copies and rows without an id, with every key taken for a hot one."""
+    from skipjack.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(7)
+    say = lambda n: " ".join(rng.choice(WORDS, n))
+    passage, copy = say(30), say(40)
+    rows = [(k, f"{say(6)} {passage} {say(9)}" if k % 3 == 0 else copy if k % 3 == 1 else say(50)) for k in range(90)]
+    rows += [(None, f"{say(5)} {passage}") for _ in range(20)] + [(None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate_substrings(docs, batches=3).collect())
+    assert got == brute_cut([(-1 if d is None else d, t) for d, t in rows])
 
 
 def test_later_calls_meet_what_the_index_holds(spark, docs):
