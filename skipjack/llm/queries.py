@@ -103,7 +103,10 @@ w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS word
 base AS (SELECT doc_id, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-        length(text) - length(replace(text, '!', '')) AS n_exclaim FROM w),
+        length(text) - length(replace(text, '!', '')) AS n_exclaim,
+        len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_letterless,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+        len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_cut_lines FROM w),
 win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
         FROM (SELECT doc_id, words, unnest(range(1, n_words - 1)) AS i FROM base)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
@@ -114,7 +117,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 5 * n_exclaim > n_words) AS kept
+            OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 5 * n_exclaim > n_words
+            OR 10 * n_letterless > 4 * n_words OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_cut_lines > 3 * n_lines) AS kept
 FROM m
 """
 
