@@ -4,9 +4,10 @@ Benchmark texts are lower-cased (A-Z) and cut into words; every run of eight wor
 words) is one pattern. The automaton over all patterns reads each normalised document once; a hit's end is mapped to
 word numbers, and word numbers to character offsets of the original text.
 
-The automaton is the only thing sent to the executors. Its size is checked: a benchmark with more than
-``max_patterns`` patterns is dealt into several automata, each of which reads the documents in a pass of its own, so
-what a task holds is bounded and no pattern is left out.
+The automaton is the only thing sent to the executors. Its size is checked: items stream to the driver, and whenever
+their patterns reach ``max_patterns`` or ``max_bytes`` an automaton is full. A benchmark of several automata is read in as many passes over the
+documents, one after the other, each of which stores its hits before the next automaton is built; so what the driver and a task
+hold is bounded and no pattern is left out.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items have no pattern; an item_id met twice
 counts once; items without an id are patterns too and count together as one item, null, last in `items`; equal windows of several items count for each; repeated document rows are judged one by one; an empty
@@ -17,16 +18,19 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skipjack.llm.common import as_bytes, slices
+from skipjack.llm.common import as_bytes, forget, slices, stored
 
 WINDOW = 8
-MAX_PATTERNS = 1_000_000
+#: Patterns of one automaton, and bytes of their texts.
+MAX_PATTERNS, MAX_BYTES = 1_000_000, 100_000_000
 #: Byte map: A-Z to a-z, other ASCII but 0-9 and a-z to a space; bytes from 0x80 up belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -97,8 +101,25 @@ def original_spans(text: str, numbers: np.ndarray) -> list[dict]:
     return [{"start": places[r[0]][0], "end": places[r[-1]][1]} for r in runs if len(r)]
 
 
-def _scan(docs: DataFrame, table: list[tuple[bytes, list[str]]], key: str) -> DataFrame:
+def chunks(items: DataFrame, max_patterns: int, max_bytes: int) -> Iterator[tuple[list[tuple[bytes, list[str | None]]], bool]]:
+    """(sorted patterns of one automaton, whether it is the last); whole items stay together, so no window is cut."""
+    held: list[tuple[str | None, bytes]] = []
+    count = size = 0
+    for row in items.toLocalIterator(prefetchPartitions=True):
+        text = row["t"].encode("utf-8", "surrogatepass")
+        own = patterns([(row["i"], text)])
+        more = sum(map(len, own))
+        if held and (count + len(own) > max_patterns or size + more > max_bytes):
+            yield sorted(patterns(held).items()), False
+            held, count, size = [], 0, 0
+        held.append((row["i"], text))
+        count, size = count + len(own), size + more
+    yield sorted(patterns(held).items()), True
+
+
+def _scan(docs: DataFrame, table: list[tuple[bytes, list[str | None]]]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(table)
+    key = uuid.uuid4().hex
 
     def run(batches):
         machine = automaton(key, sent.value)
@@ -115,36 +136,23 @@ def _scan(docs: DataFrame, table: list[tuple[bytes, list[str]]], key: str) -> Da
     return docs.mapInArrow(run, SCHEMA)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_patterns: int = MAX_PATTERNS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) and spans (original character offsets of hit words), one row per input row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-    chunks: list[list[tuple[bytes, list[str]]]] = []
-    held: list[tuple[str | None, bytes]] = []
-    size = 0
-    # Items stream to the driver one by one; whole items stay together, so no window is cut.
-    for row in items.toLocalIterator(prefetchPartitions=True):
-        held.append((row["i"], row["t"].encode("utf-8", "surrogatepass")))
-        size += max(1, len(row["t"]) // 4)
-        if size >= max_patterns:
-            chunks.append(sorted(patterns(held).items()))
-            held, size = [], 0
-    if held or not chunks:
-        chunks.append(sorted(patterns(held).items()))
-    import uuid
-
-    run = uuid.uuid4().hex
-    if len(chunks) == 1:
-        return _scan(docs, chunks[0], run)
-    # Several automata: a pass each, then the hits of a row are united by its place in the stored input.
-    from skipjack.llm.common import stored
-
-    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    parts = [_scan(numbered.select(F.col("row").alias("doc_id"), "text"), c, f"{run}-{k}") for k, c in enumerate(chunks)]
+    numbered, parts = None, []
+    for table, last in chunks(items, max_patterns, max_bytes):
+        if last and not parts:
+            return _scan(docs, table)
+        # Several automata: a pass each, then the hits of a row are united by its place in the stored input.
+        if numbered is None:
+            numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        parts.append(stored(_scan(numbered.select(F.col("row").alias("doc_id"), "text"), table), "hits"))
     both = parts[0]
     for x in parts[1:]:
         both = both.unionByName(x)
-    united = both.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("all"))
+    united = stored(both.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("all")), "hits")
+    forget(*parts)
     # Spans of different passes may overlap or touch: count the words they cover on the text itself.
     joined = numbered.join(united, "row")
 
