@@ -11,7 +11,8 @@ in the text itself is encoded by its bytes, so decoding gives back every text ex
 
 Pieces hold markers only at their front, so the best segmentation of a text is that of its chunks (a run of
 spaces and what follows up to the next space): distinct chunks are segmented together in NumPy, one trie step for all
-of them at a time, and remembered up to a bound.
+of them at a time, and remembered up to a bound of characters. In a long chunk (text without spaces) the trie is walked from
+all its places at once, and the best path is then found in one pass over the matches, so its cost grows with its length.
 
 Defined cases: null and empty texts have no ids (null decodes to the empty text); repeated rows are encoded one by one;
 an empty table gives an empty result; other columns are ignored.
@@ -34,8 +35,10 @@ MARKER = "▁"
 #: Stands for a marker character of the text itself while it is segmented; UTF-8 texts cannot hold it.
 OWN_MARKER = "\udfff"
 CHUNK = re.compile(" +[^ ]*|[^ ]+")
-#: Chunks a worker remembers, and code points of the chunks segmented at once.
-REMEMBERED, AT_ONCE = 400_000, 600_000
+#: Characters of the chunks a worker remembers, and code points of the chunks segmented at once.
+REMEMBERED, AT_ONCE = 4_000_000, 600_000
+#: A chunk this long is segmented alone; places of it whose matches are looked up at once.
+LONG, PLACES = 256, 200_000
 
 
 class DoubleArray:
@@ -142,8 +145,12 @@ class Pieces:
         order = np.argsort(sizes, kind="stable")
         at = 0
         while at < len(order):  # chunks of like length together
+            if sizes[order[at]] >= LONG:
+                for k in order[at:].tolist():
+                    out[k] = self._segment_long(chunks[k])
+                break
             end, width = at, 0
-            while end < len(order) and (end == at or (sizes[order[end]] * (end - at + 1) <= AT_ONCE and sizes[order[end]] <= 2 * sizes[order[at]] + 4)):
+            while end < len(order) and sizes[order[end]] < LONG and (end == at or (sizes[order[end]] * (end - at + 1) <= AT_ONCE and sizes[order[end]] <= 2 * sizes[order[at]] + 4)):
                 width = sizes[order[end]]
                 end += 1
             self._segment([chunks[k] for k in order[at:end]], int(width), order[at:end], out)
@@ -212,11 +219,57 @@ class Pieces:
                 if v >= 0:
                     own.append(v)
                 else:
-                    c = chunks[k][w]
-                    raw = b" " if c == MARKER else (MARKER if c == OWN_MARKER else c).encode("utf-8", "surrogatepass")
-                    own += self.byte_ids[list(raw)].tolist()
+                    own += self._byte_ids(chunks[k][w])
             out[numbers[k]] = np.array(own, np.int32)
 
+    def _segment_long(self, chunk: str) -> np.ndarray:
+        """The same for one chunk: trie steps of many places together, then one pass over the matches."""
+        n = len(chunk)
+        codes = np.concatenate((self.codes(chunk), np.zeros(self.longest + 1, np.int64)))
+        scores = self.scores.tolist()
+        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for low in range(0, n, PLACES):
+            high = min(low + PLACES, n)
+            live = np.arange(low, high)
+            state, starts, ends, found = np.zeros(len(live), np.int64), [], [], []
+            for j in range(self.longest):
+                state = self.trie.step(state, codes[live + j])
+                going = state >= 0
+                if not going.any():
+                    break
+                live, state = live[going], state[going]
+                value = self.trie.value[state]
+                hit = value >= 0
+                starts.append(live[hit])
+                ends.append(live[hit] + j + 1)
+                found.append(value[hit])
+            start, end, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, found))
+            order = np.lexsort((end, start))
+            first = np.searchsorted(start[order], np.arange(low, high + 1)).tolist()
+            end, value = end[order].tolist(), value[order].tolist()
+            for i in range(low, high):
+                here, k = best[i], i + 1
+                # One character by its bytes.
+                if here + self.fallback > best[k]:
+                    best[k], back[k], piece[k] = here + self.fallback, 1, -1
+                for m in range(first[i - low], first[i - low + 1]):
+                    k, s = end[m], here + scores[value[m]]
+                    if s > best[k]:
+                        best[k], back[k], piece[k] = s, k - i, value[m]
+        out, at = [], n
+        while at:
+            size = back[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out += reversed(self._byte_ids(chunk[at - 1]))
+            at -= size
+        return np.array(out[::-1], np.int32)
+
+    def _byte_ids(self, c: str) -> list[int]:
+        raw = b" " if c == MARKER else (MARKER if c == OWN_MARKER else c).encode("utf-8", "surrogatepass")
+        return self.byte_ids[list(raw)].tolist()
+
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
@@ -226,7 +279,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts chunk by chunk; remembers chunks up to a bound."""
+    """Encodes texts chunk by chunk; remembers chunks up to a bound of characters (beside those of the texts at hand)."""
 
     def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
         self.pieces, self.remembered = pieces, remembered
@@ -237,7 +290,7 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.first: list[int] = []
         self.size: list[int] = []
-        self.used = 0
+        self.used = self.letters = 0
         self.spans: tuple[np.ndarray, np.ndarray] | None = None
 
     @staticmethod
@@ -259,12 +312,13 @@ class Encoder:
             self.first.append(self.used)
             self.size.append(len(ids))
             self.used += len(ids)
+            self.letters += len(x)
         self.spans = None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's)."""
         cut = [self.chunks(t) for t in texts]
-        if len(self.number) > self.remembered:
+        if self.letters > self.remembered:
             self.clear()
         new = set().union(*cut) - self.number.keys() if cut else set()
         if new:
