@@ -10,10 +10,15 @@ part of a file. The folder must be one that all executors share.
 
 A byte-level tokenizer's own rule cuts before every space that a non-space follows, so a text's ids are those of its
 space-led words in a row. Words are cut and numbered by Arrow; each distinct word of a slice is cut into its
-pre-tokens, and a pre-token goes to the library's model once and is remembered up to a bound. Texts with other spacing (or another rule) go to the library whole. Control strings inside a text are ordinary text.
+pre-tokens, and a pre-token goes to the library's model once and is remembered up to a bound. Texts with other spacing (or another
+rule), and texts that hold a control string, go to the library whole. Whether a control string inside a text becomes its own id, as
+in the library's plain call, or is ordinary text, is the caller's choice (``control_ids``).
 
-Defined cases: null texts are empty; an empty text has the end id alone; repeated rows are documents of their own (ties in id by text);
-null ids come first; an empty table gives no files and an empty result; other columns are ignored.
+Rows are ranged by id, a hash of the text and their place in the source, so an id that many rows share (or rows
+without one) spreads over the files as well.
+
+Defined cases: null texts are empty; an empty text has the end id alone; repeated rows are documents of their own (ties in id by
+the text's hash); null ids come first; an empty table, and a partition without rows, gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ REMEMBERED, LONGEST, SLICE = 250_000, 64, 16_000_000
 LOOSE = r" ([\x09-\x0D\x1C-\x20\x{85}\p{Z}]|\z)"
 
 
-#: The pre-token rule is for ASCII and Latin letters; texts with anything else go to the library whole.
+#: Fixed by the tokenizer: its rule for pre-tokens (here for ASCII and Latin letters; texts with anything else go to the
+#: library whole) and the letters that stand for bytes.
 OTHER = r"[^\x{00}-\x{1B}\x{20}-\x{7F}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]"
 LETTER = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-ſ"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
@@ -59,11 +65,13 @@ LETTERS = byte_letters()
 class Tokens:
     """Encodes texts with one tokenizer; each distinct word of a call once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control_ids: bool = True):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = not control_ids
+        added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.control = "|".join(f"\\Q{t}\\E" for t in added) if control_ids else ""
         state = self.own.pre_tokenizer.__getstate__() if self.own.pre_tokenizer else b""
         special = all(t.special for t in self.own.get_added_tokens_decoder().values())
         self.cuts = special and self.own.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
@@ -109,7 +117,7 @@ class Tokens:
 
     def encode(self, texts) -> list[np.ndarray]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        loose = pc.match_substring_regex(texts, f"{LOOSE}|{OTHER}").to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        loose = pc.match_substring_regex(texts, f"{LOOSE}|{OTHER}" + (f"|{self.control}" if self.control else "")).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
         out: list = [None] * len(texts)
         for k, ids in zip(np.flatnonzero(loose).tolist(), self._whole(texts.filter(pa.array(loose)).to_pylist()), strict=True):
             out[k] = ids
@@ -136,10 +144,10 @@ class Tokens:
 _tokens: dict = {}
 
 
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+def tokens(path: str, control_ids: bool = True) -> Tokens:
+    if (path, control_ids) not in _tokens:
+        _tokens[path, control_ids] = Tokens(path, control_ids)
+    return _tokens[path, control_ids]
 
 
 def _store(uri: str):
@@ -188,40 +196,56 @@ class FileWriter:
         self.writer.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Write the files; return (folder, one row per file: part, file, index, n_docs, n_ids), parts in order of id."""
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", control_ids: bool = True) -> tuple[str, DataFrame]:
+    """Write the files; return (folder, one row per file: part, file, index, n_docs, n_ids), parts in order of id.
+
+    Without a folder the files are scratch, which goes when the driver ends.
+    """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranged = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "place"]
+    ranged = own.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        store, root = _store(folder)
-        store.create_dir(root, recursive=True)
+        collecting = gc.isenabled()
         gc.disable()  # no cycles arise here, and the library's many small results would be traversed again and again
-        coder, part, tag = tokens(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
+        try:
+            yield from written(batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def written(batches):
+        store, root = _store(folder)
+        coder, part, tag = tokens(tokenizer, control_ids), TaskContext.get().partitionId(), uuid.uuid4().hex
         ids, offsets, sizes, total = [], [], [], 0
         names = [f"{root}/part-{part:06d}.arrows", f"{root}/part-{part:06d}.index"]
-        with store.open_output_stream(f"{names[0]}.{tag}") as sink:
-            writer = FileWriter(sink, length, coder.kind)
-            for batch in batches:
-                for piece in slices(batch, "text", SLICE):
-                    for found in coder.encode(piece.column("text")):
-                        row = np.append(found, coder.kind.type(end_id))
-                        writer.add(row)
-                        offsets.append(total)
-                        sizes.append(len(row))
-                        total += len(row)
-                    ids += piece.column("doc_id").to_pylist()
-            writer.close()
+        sink = writer = None
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE):
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    sink = store.open_output_stream(f"{names[0]}.{tag}")
+                    writer = FileWriter(sink, length, coder.kind)
+                for found in coder.encode(piece.column("text")):
+                    row = np.append(found, coder.kind.type(end_id))
+                    writer.add(row)
+                    offsets.append(total)
+                    sizes.append(len(row))
+                    total += len(row)
+                ids += piece.column("doc_id").to_pylist()
+        if writer is None:
+            return
+        writer.close()
+        sink.close()
         table = pa.table({"doc_id": pa.array(ids, pa.int64()), "offset": pa.array(offsets, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
         with store.open_output_stream(f"{names[1]}.{tag}") as sink, pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         for n in names:
             store.move(f"{n}.{tag}", n)
-        if ids:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [names[0]], "index": [names[1]], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [names[0]], "index": [names[1]], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
     return folder, stored(ranged.mapInArrow(run, "part int, file string, index string, n_docs long, n_ids long"), "token-files-list")
 
