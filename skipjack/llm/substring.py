@@ -5,15 +5,19 @@ A word goes if a window of 13 words that covers it also starts in a document wit
 1. Profile: one pass over the texts gives a digest of the words, and the winnowed fingerprints: a window's anchor is the
    least hash of its 6-word grams, so equal windows have equal anchors and neighbouring windows share theirs (about two
    anchors come from nine words). Documents whose words equal an earlier document's lose every word and go no further.
-2. Log-structured index. A batch's anchors become a run: (h, doc_id), hash-bucketed and sorted by h, never changed after
+2. Folding: anchors that several rows of one Arrow batch share are known to be shared there and then, and one row of the
+   batch stands for them, so a passage in a third of all documents makes one posting a batch.
+3. Log-structured index. A batch's postings become a run: (h, call, row), hash-bucketed and sorted by h, never changed after
    it is written. Each new run is merge-joined with the runs before it (buckets line up, so no run is shuffled); an
-   anchor met in two documents is shared. Once there are more than ``fan_in`` runs they are compacted into one. An
+   anchor met in two rows is shared. Once there are more than ``fan_in`` runs they are compacted into one. An
    index that is passed in outlives the call: it also keeps the texts and digests of each call, against which later calls
    are verified. All it holds counts as earlier than what comes in, whatever the doc_ids; a document comes in one call.
-3. Verification. Only windows whose anchor is shared are looked at again, by a 128-bit hash of their words. A task first
+   Its folder holds a manifest, written when a call is whole, from which a later session opens it again; a call that breaks off
+   leaves what the manifest says.
+4. Verification. Only windows whose anchor is shared are looked at again, by a 128-bit hash of their words. A task first
    settles what it can among its own documents and sends one row per window, so a passage in a third of all documents
    makes a row per task, not per document. Nothing rests on the 64-bit anchors.
-4. Removal on the original text, by character spans.
+5. Removal on the original text, by character spans.
 
 Defined cases: null and blank texts have no words; texts under 13 words have no window; rows that repeat a doc_id
 belong to one document but their windows do not span rows, and each row is returned; null doc_ids sort before all
@@ -24,6 +28,7 @@ partitions (files do); otherwise the job stops with an error.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -32,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipjack.llm.common import as_bytes, release, remove, scratch, shared_dir, slices, stored
+from skipjack.llm.common import BROADCAST_ROWS, as_bytes, forget, join_unique, read_version, release, remove, scratch, shared_dir, slices, stored, write_version
 from skipjack.llm.windows import Words
 
 WINDOW, GRAM = 13, 6
@@ -41,70 +46,105 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NO_DOC = -(2**63)
 #: Row number of the documents of earlier calls, below all others.
 OLD = -1
-#: Rows of a list of row numbers that may be sent to every task (8 bytes each).
-BROADCAST_ROWS = 250_000
+MANIFEST = "manifest"
 
 
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4):
+        """path: the folder of an index that is kept, opened again if it holds one; none: scratch."""
         self.spark, self.fan_in = spark, fan_in
-        self.path = path or scratch(spark, "window-index")
+        self.path = (path or scratch(spark, "window-index")).rstrip("/")
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[tuple[str, str]] = []
+        self.runs: list[str] = []
         self.count = 0
-        #: Of each earlier call: digests (doc_id, a, b, n_words) and texts (doc_id, text) of its documents with windows.
-        self.calls: list[tuple[str, str]] = []
+        #: Of each earlier call: folders of the digests (a, b, n_words) and texts (row, text) of its documents with windows, and of the
+        #: anchors (h, row) for which another row stands in a run.
+        self.calls: list[tuple[str, str, str]] = []
         self.shape: tuple[int, int] | None = None
-
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
-        path = f"{self.path}/run-{self.count:05d}"
+        #: Folders that the manifest may still name.
+        self.merged: list[str] = []
+        self.reload()
+
+    def reload(self) -> None:
+        """What the manifest says; nothing if there is none."""
+        found = read_version(self.spark, f"{self.path}/{MANIFEST}")
+        self.version = found[0] if found else -1
+        own = json.loads(found[1]) if found else {"runs": [], "count": 0, "calls": [], "shape": None, "buckets": self.buckets}
+        self.runs, self.count, self.buckets = own["runs"], own["count"], own["buckets"]
+        self.calls, self.shape, self.merged = [tuple(c) for c in own["calls"]], own["shape"] and tuple(own["shape"]), []
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+            self.spark.sql(f"CREATE TABLE {self._name(run)} (h BIGINT, call INT, row BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+
+    def commit(self) -> None:
+        """Write the manifest; then what it no longer names can go."""
+        self.version += 1
+        write_version(self.spark, f"{self.path}/{MANIFEST}", self.version, json.dumps({"runs": self.runs, "count": self.count, "calls": self.calls, "shape": self.shape, "buckets": self.buckets}))
+        for run in self.merged:
+            remove(self.spark, f"{self.path}/{run}")
+        self.merged = []
+
+    def _name(self, run: str) -> str:
+        return "skipjack_" + re.sub(r"\W", "_", f"{self.path}/{run}")[-80:]
+
+    def _write(self, rows: DataFrame) -> str:
+        run = f"run-{self.count:05d}"
         self.count += 1
-        name = "skipjack_" + re.sub(r"\W", "_", path)[-80:]
+        name = self._name(run)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        rows.repartition(self.buckets, "h").write.option("path", path).bucketBy(self.buckets, "h").sortBy("h").mode("overwrite").saveAsTable(name)
-        return name, path
+        rows.repartition(self.buckets, "h").write.option("path", f"{self.path}/{run}").bucketBy(self.buckets, "h").sortBy("h").mode("overwrite").saveAsTable(name)
+        return run
 
     def postings(self, shared: DataFrame | None = None) -> DataFrame:
-        """(h, doc_id) of all runs, or of the given anchors; each run is joined where its buckets lie."""
+        """(h, call, row) of all runs, or of the given anchors; each run is joined where its buckets lie."""
         out = None
-        for name, _ in self.runs:
-            own = self.spark.table(name)
+        for run in self.runs:
+            own = self.spark.table(self._name(run))
             own = own if shared is None else own.join(shared, "h")
             out = own if out is None else out.unionByName(own)
-        return out
+        return out.select("h", "call", "row")
 
     def drop(self) -> None:
         """Remove the whole index."""
-        for name, _ in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs, self.calls, self.shape = [], [], None
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        self.runs, self.calls, self.merged, self.shape = [], [], [], None
         remove(self.spark, self.path)
 
-    def keep(self, digests: DataFrame, texts: DataFrame) -> None:
+    def keep(self, digests: DataFrame, texts: DataFrame, folded: DataFrame) -> None:
         """Store a call's documents, for the verification of later calls."""
-        pair = f"{self.path}/digests-{len(self.calls):05d}", f"{self.path}/texts-{len(self.calls):05d}"
-        for rows, path in zip((digests, texts), pair, strict=True):
-            rows.write.mode("overwrite").parquet(path)
-        self.calls.append(pair)
+        own = tuple(f"{kind}-{len(self.calls):05d}" for kind in ("digests", "texts", "folded"))
+        for rows, folder in zip((digests, texts, folded), own, strict=True):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        self.calls.append(own)
 
-    def history(self) -> tuple[DataFrame, DataFrame] | None:
-        """(digests, texts) of all calls so far."""
+    def digests(self) -> DataFrame | None:
+        """(a, b, n_words) of all documents of earlier calls."""
         if not self.calls:
             return None
-        digests, texts = zip(*self.calls, strict=True)
-        return self.spark.read.schema("doc_id long, a long, b long, n_words long").parquet(*digests), self.spark.read.schema("doc_id long, text string").parquet(*texts)
+        return self.spark.read.schema("a long, b long, n_words long").parquet(*[f"{self.path}/{d}" for d, _, _ in self.calls])
+
+    def texts(self, call: int) -> DataFrame:
+        """(row, text) of a call."""
+        return self.spark.read.schema("row long, text string").parquet(f"{self.path}/{self.calls[call][1]}")
+
+    def folded(self, call: int, shared: DataFrame) -> DataFrame:
+        """(row, h) of a call's rows for which others stand, of the given anchors."""
+        rows = self.spark.read.schema("h long, row long").parquet(f"{self.path}/{self.calls[call][2]}")
+        counted = stored(rows.groupBy("h").agg(F.count("*").alias("n")).join(shared, "h"), "folded-anchors")
+        return join_unique(rows, counted, ["h"]).select("row", "h")
 
     def append(self, postings: DataFrame) -> DataFrame:
-        """Add a batch's (h, doc_id); return the anchors it shares or makes shared (h, one row each)."""
-        run = self._write(postings.select("h", "doc_id"))
-        new = self.spark.table(run[0])
-        shared = new.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-        for name, _ in self.runs:
+        """Add a batch's (h, call, row); return the anchors it shares or makes shared (h, one row each)."""
+        run = self._write(postings.select("h", F.col("call").cast("int").alias("call"), "row"))
+        new = self.spark.table(self._name(run))
+        shared = new.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("h")
+        for old in self.runs:
             # The merge join of keys: both sides are bucketed and sorted by h.
             keys = new.select("h").distinct()
-            shared = shared.unionByName(keys.join(self.spark.table(name).select("h").distinct().hint("merge"), "h"))
+            shared = shared.unionByName(keys.join(self.spark.table(self._name(old)).select("h").distinct().hint("merge"), "h"))
         self.runs.append(run)
         found = stored(shared.distinct() if len(self.runs) > 1 else shared, "shared-anchors")
         if len(self.runs) > self.fan_in:
@@ -112,12 +152,18 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one and remove them."""
+        """Merge all runs into one; the old ones go when no manifest names them."""
         old, merged = self.runs, self._write(self.postings())
         self.runs = [merged]
-        for name, path in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, path)
+        for run in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        self.merged += old
+
+    def sweep(self) -> None:
+        """Remove merged runs of an index without a manifest."""
+        for run in self.merged:
+            remove(self.spark, f"{self.path}/{run}")
+        self.merged = []
 
 
 def profile(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -149,6 +195,30 @@ def profile(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n_words long, a long, b long, sha string, h array<long>")
 
 
+def fold(profiles: DataFrame) -> DataFrame:
+    """profiles(doc_id, row, h) -> doc_id, row, post (anchors the row stands for in its Arrow batch), own (anchors it shares there)."""
+    kind = pa.list_(pa.int64())
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("h")
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            order = np.argsort(h, kind="stable")
+            new = np.concatenate(([True], h[order][1:] != h[order][:-1]))[: len(h)]
+            several = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1] > 1 if len(h) else new
+            cols = []
+            for kept in (new, several):
+                mark = np.zeros(len(h), bool)
+                mark[order] = kept
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[mark], minlength=batch.num_rows))))
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[mark])).cast(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], names=["doc_id", "row", "post", "own"])
+
+    return profiles.select("doc_id", "row", "h").mapInArrow(run, "doc_id long, row long, post array<long>, own array<long>")
+
+
 def _marks(held: DataFrame, size: int, gram: int) -> DataFrame:
     """held(doc_id, row, text, shared) -> (row, at): windows that also start in an earlier document.
 
@@ -252,71 +322,98 @@ def deduplicate_substrings(docs: DataFrame, index: FingerprintIndex | None = Non
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    own_index = index is None
-    index = index or FingerprintIndex(spark)
+    if index is None:
+        own = FingerprintIndex(spark)
+        try:
+            return _deduplicated(docs, own, False, batches, size, gram, id_col, text_col, with_text, row_col)
+        finally:
+            own.drop()
     if index.shape not in (None, (size, gram)):
         raise ValueError(f"the index holds windows of {index.shape} words, not {(size, gram)}")
     index.shape = size, gram
-    history = index.history()
+    try:
+        out = _deduplicated(docs, index, True, batches, size, gram, id_col, text_col, with_text, row_col)
+    except BaseException:
+        index.reload()
+        raise
+    index.commit()
+    return out
+
+
+def _deduplicated(docs: DataFrame, index: FingerprintIndex, kept: bool, batches: int, size: int, gram: int, id_col: str, text_col: str, with_text: bool, row_col: str | None) -> DataFrame:
+    spark = docs.sparkSession
+    earlier = index.digests()
+    call = len(index.calls)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"))
     path = scratch(spark, "profiles")
     profile(texts, size, gram).write.parquet(path)
     full = spark.read.parquet(path)
     seen = stored(full.drop("h"), "digests")
-    windowed = seen.where(F.col("n_words") >= size)
+    windowed = seen.where(F.col("n_words") >= size).select("doc_id", "row", "a", "b", "n_words")
     # Whole copies of an earlier document: every window of theirs starts in it.
-    firsts = windowed.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copied = windowed.select("doc_id", "row", "a", "b", "n_words").join(firsts, ["a", "b", "n_words"]).where("doc_id > first").select("row")
-    if history:
-        copied = copied.unionByName(windowed.select("row", "a", "b", "n_words").join(history[0].drop("doc_id").distinct(), ["a", "b", "n_words"]).select("row")).distinct()
+    key = ["a", "b", "n_words"]
+    groups = windowed.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    firsts = stored(groups.where("first < last").drop("last"), "first-copies")
+    copied = join_unique(windowed, firsts, key).where("doc_id > first").select("row")
+    if earlier is not None:
+        known = stored(groups.select(*key, "n").join(earlier.select(*key).distinct(), key), "known-copies")
+        copied = copied.unionByName(join_unique(windowed, known, key).select("row")).distinct()
     copies = stored(copied, "copies")
+    forget(firsts)
     # Sent around only while their checked number is small; otherwise joined by a shuffle.
     sent = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    single = full.where(F.col("n_words") >= size).select("doc_id", "row", "h").join(sent, "row", "left_anti")
-    # Batches by doc_id, so that what the index holds is older than what comes in.
+    single = stored(fold(full.where(F.col("n_words") >= size).select("doc_id", "row", "h").join(sent, "row", "left_anti")), "postings")
+    remove(spark, path)
+    del full
+    # Batches by doc_id: each becomes a run and meets the runs before it.
     edges = [] if batches < 2 else windowed.where(F.col("doc_id") != NO_DOC).select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = sorted(set(edges))
-    if not own_index:  # before the anchors: a run without texts could not be verified
-        own = windowed.select("doc_id", "row", "a", "b", "n_words").join(sent, "row", "left_anti")
-        index.keep(own.drop("row"), texts.join(own.select("doc_id", "row"), ["doc_id", "row"]).select("doc_id", "text"))
-        if spark.read.parquet(index.calls[-1][1]).count() != own.count():
-            index.calls.pop()
+    if kept:  # before the anchors: a run without texts could not be verified
+        own = windowed.join(sent, "row", "left_anti")
+        index.keep(own.select("a", "b", "n_words"), texts.join(own.select("row"), "row"), single.select(F.explode("own").alias("h"), "row"))
+        if index.texts(call).count() != own.count():
             raise RuntimeError("the source gave other partitions on its second reading; store it first")
-    shared = None
+    found = []
     for k in range(len(edges) + 1):
         batch = single
         if k:
             batch = batch.where(F.col("doc_id") > edges[k - 1])
         if k < len(edges):
             batch = batch.where(F.col("doc_id") <= edges[k])
-        found = index.append(batch.select(F.explode("h").alias("h"), "doc_id"))
-        shared = found if shared is None else shared.unionByName(found)
-        del batch, found
+        found.append(index.append(batch.select(F.explode("post").alias("h"), F.lit(call).alias("call"), "row")))
+        if not kept:
+            index.sweep()
         release(spark)
-    del single, full
+    shared = found[0]
+    for more in found[1:]:
+        shared = shared.unionByName(more)
     shared = shared.distinct() if edges else shared
-    # Unique keys on the right: a frequent anchor makes one row per document that has it.
-    lists = stored(index.postings(shared).groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "shared-by-document")
-    if history:
-        earlier = stored(history[1].join(lists, "doc_id").select("doc_id", F.lit(OLD).cast("long").alias("row"), "text", "shared"), "earlier-texts")
-    remove(spark, path)
-    if own_index:
-        index.drop()
+    # Unique keys on the right: a frequent anchor makes one row per Arrow batch that has it.
+    met = index.postings(shared)
+    met = stored(met, "shared-postings") if call else met
+    now = met.where(F.col("call") == call).groupBy("row").agg(F.collect_set("h").alias("shared"))
+    now = now.unionByName(single.where(F.size("own") > 0).select("row", F.col("own").alias("shared")))
+    lists = stored(now.groupBy("row").agg(F.flatten(F.collect_list("shared")).alias("shared")), "shared-by-row")
+    shared = stored(shared, "shared-anchors") if call else shared
+    old = None
+    for k in range(call):
+        wanted = met.where(F.col("call") == k).select("row", "h").unionByName(index.folded(k, shared)).groupBy("row").agg(F.collect_set("h").alias("shared"))
+        part = index.texts(k).join(wanted, "row").select(F.lit(NO_DOC).alias("doc_id"), F.lit(OLD).cast("long").alias("row"), "text", "shared")
+        old = part if old is None else old.unionByName(part)
+    old = None if old is None else stored(old, "earlier-texts")
+    forget(*found, single, *([met] if call else []))
     release(spark)
-    wanted = lists.select("doc_id").join(windowed.select("doc_id", "row").join(sent, "row", "left_anti"), "doc_id").count()
-    held_path = scratch(spark, "texts")
-    texts.join(lists, "doc_id").join(sent, "row", "left_anti").write.parquet(held_path)
-    held = spark.read.parquet(held_path)
-    if held.count() != wanted:
+    held = stored(texts.join(lists, "row"), "texts")
+    if held.count() != lists.count():
         raise RuntimeError("the source gave other partitions on its second reading; store it first")
+    forget(lists)
     release(spark)
     compared = held.select("doc_id", "row", "text", "shared")
-    starts = stored(_marks(compared.unionByName(earlier) if history else compared, size, gram).groupBy("row").agg(F.collect_set("at").alias("starts")), "removals")
+    starts = stored(_marks(compared if old is None else compared.unionByName(old), size, gram).groupBy("row").agg(F.collect_set("at").alias("starts")), "removals")
     release(spark)
     removed = _removed(held.select("row", "text").join(starts, "row"), size)
     removed = stored(removed if with_text else removed.drop("cut_text"), "removed")
-    del held
-    remove(spark, held_path)
+    forget(held, starts, *([] if old is None else [old]))
     release(spark)
     nothing = hashlib.sha256(b"").hexdigest()
     out = seen.select("doc_id", "row", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), "row", "left").join(removed, "row", "left")
