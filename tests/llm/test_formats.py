@@ -3,9 +3,11 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from skipjack.llm import chat, quality_model, quality_rules, shard, token_files, toxicity
 
@@ -24,8 +26,9 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0], x[1] or 0, x[2]))
+    # Ties in id: by the hash of the text.
+    place = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0], x[1] or 0, place(x[2])))
     want, at = [], 0
     for _, d, t in rows:
         ids = np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -42,20 +45,35 @@ def test_token_files(spark, docs):
         total += int(masks.sum())
     assert total == at
     folder, files = token_files.write_tokens(docs.limit(0), BPE)
-    assert token_files.read_tokens(folder, files).count() == 0
+    assert token_files.read_tokens(folder, files).count() == 0 and files.count() == 0
 
 
-def test_pretokens_equal_the_library():
+def test_an_id_of_many_rows_spreads_over_the_files(spark):
+    rows = spark.range(400).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 7 END AS doc_id", "concat('text ', id) AS text")
+    folder, files = token_files.write_tokens(rows, BPE)
+    assert files.count() == 4 and max(r["n_docs"] for r in files.collect()) < 250
+    found = token_files.read_tokens(folder, files).collect()
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in found)
+    assert len(found) == 400 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])] == [None] * 134 + [7] * 266
+
+
+@pytest.mark.parametrize("control_ids", [True, False])
+def test_pretokens_equal_the_library(control_ids):
+    import duckdb
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not control_ids
     rng = np.random.default_rng(4)
     letters = list("abcXYZ019 .,'!\n\t\r\x0b\x1c_éüßÿĀſ ²½'s'llÆ÷×日")
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(1500)]
-    got = token_files.Tokens(BPE).encode(texts)
+    texts += ["a <|endoftext|> b c", "<|endoftext|>", "a<|endoftext|>b", "plain <|endoftext", "word " * 30_000]
+    # Documents of all four languages.
+    texts += [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    got = token_files.Tokens(BPE, control_ids).encode(texts)
     for t, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+        assert ids.tolist() == own.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
 
 def test_chat_round_trip(spark):
@@ -71,42 +89,160 @@ def test_chat_round_trip(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_chats(turns.limit(0), BPE).count() == 0
+    # The mask itself: the masked ids decode to the assistants' escaped texts, which the marks split.
+    own = chat.tokenizer_with_marks(BPE)
+    for r in chat.format_chats(turns, BPE).collect():
+        said, inside = [], False
+        for i, m in zip(r["ids"], r["loss_mask"], strict=True):
+            if m and not inside:
+                said.append([])
+            if m:
+                said[-1].append(i)
+            inside = bool(m)
+        want = [t or "" for _, _, role, t in sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: x[1]) if role == "assistant" and t]
+        assert [chat.unescape(own.decode(x, skip_special_tokens=False)) for x in said] == want
+
 
+def test_a_very_long_turn(spark):
+    long = "wort für wort <|im_end|> " * 30_000
+    turns = spark.createDataFrame([(1, 0, "assistant", long), (1, 0, "assistant", long), (1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    r = chat.read_chats(chat.format_chats(turns, BPE)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (3, 2 * len(long), hashlib.sha256((long * 2).encode()).hexdigest())
 
-def test_shards_are_exact_and_cover_all(docs):
-    out = shard.shard(docs, 3, block_rows=2)
+
+@pytest.mark.parametrize("how", [{"block_rows": 2}, {"block_bytes": 40}, {}])
+def test_shards_are_exact_and_cover_all(docs, how):
+    out = shard.shard(docs, 3, **how)
     rows = out.collect()
-    assert len(rows) == docs.count()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows) == sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect())
     for s in range(3):
         slots = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 3, len(rows) // 3 + 1)
     assert shard.shard(docs.limit(0), 3).count() == 0
 
 
+def test_shards_carry_columns_of_any_name(spark):
+    names = ["_block", "_key", "_first", "_p", "_row", "_slot", "row", "block", "key", "p", "at", "shard", "slot", "a.b`c", "text"]
+    docs = spark.createDataFrame([tuple(f"{n}{k}" for n in names) for k in range(20)], names).repartition(3)
+    out = shard.shard(docs, 4, block_rows=3)
+    assert sorted(out.columns) == sorted(names)
+    for c in names:
+        if c not in ("shard", "slot"):
+            assert sorted(r[c] for r in out.collect()) == sorted(f"{c}{k}" for k in range(20))
+
+
+def test_shards_of_one_hot_text_and_a_long_one(spark):
+    docs = spark.range(900).selectExpr("id", "CASE WHEN id = 5 THEN repeat('x ', 500000) ELSE 'same' END AS text").repartition(5)
+    rows = shard.shard(docs, 7, block_bytes=100_000).select("id", "shard", "slot").collect()
+    assert len({r["id"] for r in rows}) == 900 and {sum(r["shard"] == s for r in rows) for s in range(7)} == {128, 129}
+
+
 def test_communication_matrix_law():
     draws = np.array([shard.communication_matrix([3, 2], [2, 3], seed)[0, 0] for seed in range(4000)])
     # Hypergeometric: 3 drawn out of 2 and 3.
     assert np.allclose([(draws == k).mean() for k in range(3)], [0.1, 0.6, 0.3], atol=0.03)
 
 
+def test_every_permutation_is_as_likely():
+    """Brute force: 4 rows in partitions of 3 and 1, blocks of 1, 2 and 1: all matrices have the chances of a shuffle."""
+    from collections import Counter
+    from itertools import permutations
+
+    want = Counter()
+    for order in permutations(range(4)):
+        want[tuple(sum(order[k] < 3 for k in range(a, z)) for a, z in ((0, 1), (1, 3), (3, 4)))] += 1 / 24
+    got = Counter(tuple(shard.matrix_row(np.array([3, 1]), np.array([1, 2, 1]), seed, 0).tolist()) for seed in range(6000))
+    assert set(got) == set(want) and all(abs(got[k] / 6000 - v) < 0.03 for k, v in want.items())
+
+
+def test_draws_beyond_numpys_limit(monkeypatch):
+    from math import comb
+
+    sizes = np.array([b[2] for b in shard.block_table(10**10, 40, 4_000_000)])
+    rows = [shard.matrix_row(np.full(1000, 10**7), sizes, 3, p) for p in (0, 500, 999)]
+    assert all(r.sum() == 10**7 and abs(r.mean() - 10**7 / len(sizes)) < 1 for r in rows)
+    # The sums of a small matrix, with every draw made by the law for large numbers.
+    monkeypatch.setattr(shard, "SMALL", 3)
+    whole = shard.communication_matrix([50, 7, 60, 1], [20, 40, 38, 20], 1)
+    assert whole.sum(axis=1).tolist() == [50, 7, 60, 1] and whole.sum(axis=0).tolist() == [20, 40, 38, 20]
+    rng = np.random.default_rng(5)
+    draws = np.array([shard.large_hypergeometric(rng, 20, 30, 10) for _ in range(20_000)])
+    want = np.array([comb(20, k) * comb(30, 10 - k) / comb(50, 10) for k in range(11)])
+    assert np.abs(np.bincount(draws, minlength=11) / 20_000 - want).max() < 0.015
+    total = sum(np.exp(shard.log_chance(k, 20, 30, 10) - shard.log_chance(4, 20, 30, 10)) for k in range(11))
+    assert abs(1 / total - want[4]) < 1e-12
+
+
 def repeat_words(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
-
-
-def test_rules(spark):
-    texts = [None, "", "a b c a b c", "x " * 60, "\n".join(["same line here"] * 5), "a #b $c| <d>", " ".join(f"w{k}" for k in range(70))]
-    docs = spark.createDataFrame([(k, t, "k") for k, t in enumerate(texts)], "doc_id long, text string, kept string")
-    rows = {r["doc_id"]: r for r in quality_rules.quality_cascade(docs).collect()}
-    for k, t in enumerate(texts):
-        assert rows[k]["n_repeat_words"] == repeat_words(t)
-        assert rows[k]["n_words"] == len((t or "").split())
-    assert rows[5]["n_symbols"] == 5 and rows[4]["n_dup_lines"] == 4
-    assert [rows[k]["kept"] for k in range(7)] == [False] * 6 + [True]
+    seen = Counter(grams)
+    return len({i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(3)})
+
+
+def judged(text):
+    """The rules, one by one."""
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, dup = len(w), len(lines) - len(set(lines))
+    chars = sum(map(len, w))
+    fails = {
+        "few_words": n < 50,
+        "repeated_windows": 100 * repeat_words(t) > 50 * n,
+        "symbols": 10 * sum(c in "#*$%&|<>" for c in t) > n,
+        "word_length": chars < 2 * n or chars > 25 * n,
+        "duplicate_lines": dup >= 3 and 10 * dup > 3 * len(lines),
+        "exclamations": 5 * t.count("!") > n,
+        "letterless_words": 10 * sum(not any(c.isalpha() for c in x) for x in w) > 4 * n,
+        "bullet_lines": 10 * sum(bool(re.match(r"[ \x09-\x0D]*[-*•]", x)) for x in lines) > 9 * len(lines),
+        "cut_off_lines": 10 * sum(bool(re.search(r"(\.\.\.|…)[ \x09-\x0D]*\Z", x)) for x in lines) > 3 * len(lines),
+    }
+    return [k for k, v in fails.items() if v], (n, chars, sum(c in "#*$%&|<>" for c in t), dup, repeat_words(t))
+
+
+def say(a, z, sep=" "):
+    return sep.join(f"w{k}é" for k in range(a, z))
+
+
+RULE_TEXTS = [None, "", "a b c a b c", "x " * 60, "\n".join(["same line here"] * 5), "a #b $c| <d>", say(0, 70), say(0, 70) + " ##########", " ".join(["ab"] + [chr(97 + k % 26) for k in range(80)]), "\n".join([say(0, 60), *["one line"] * 6, *(say(k, k + 2) for k in range(100, 108))]), say(0, 60) + " yes" + "!" * 20, say(0, 40) + " " + " ".join(str(k) for k in range(60)), "\n".join(f" - {say(k, k + 9)}" for k in range(0, 90, 9)), "\n".join(f"{say(k, k + 9)}... \r" for k in range(0, 90, 9)), "z" * 2000 + " " + say(0, 60), say(0, 120_000), "wort " * 100_000]
+
+
+@pytest.mark.parametrize("counts", [quality_rules.COUNTS, ()])
+def test_rules_against_brute_force(spark, counts):
+    docs = spark.createDataFrame([(k, t, "k", 1) for k, t in enumerate(RULE_TEXTS)] + [(6, None, "k", 1)], "doc_id long, text string, kept string, words int")
+    rows = quality_rules.quality_cascade(docs, counts=counts).collect()
+    assert len(rows) == len(RULE_TEXTS) + 1
+    seen = set()
+    for r in rows:
+        if r["doc_id"] == 6 and r["failed_rule"]:
+            continue  # the repeated id, without a text
+        fails, numbers = judged(RULE_TEXTS[r["doc_id"]])
+        assert r["kept"] == (not fails), (r["doc_id"], fails, r["failed_rule"])
+        assert r["failed_rule"] in (fails or [None])
+        seen.update(fails)
+        if counts:
+            assert tuple(r[c] for c in counts) == numbers
+            assert r["base_failed"] == bool({"few_words", "repeated_windows"} & set(fails))
+    assert seen == {r.name for r in quality_rules.RULES}
     assert quality_rules.quality_cascade(docs.limit(0)).count() == 0
 
 
+def test_a_row_that_failed_pays_for_no_later_rule(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "two words"), (2, "x " * 90)], "doc_id long, text string")
+    asked = quality_rules.Rule("asked", lambda of: F.when(F.col("text").contains("words"), F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)).cast("boolean"))
+    chain = quality_rules.cascade([quality_rules.RULES[0], asked])
+    measured = quality_rules.measures(docs)
+    assert {r["doc_id"]: r["f"] for r in measured.select("doc_id", chain.alias("f")).collect()} == {1: "few_words", 2: None}
+    with pytest.raises(Exception, match="evaluated"):
+        measured.select(quality_rules.cascade([asked, quality_rules.RULES[0]]).alias("f")).collect()
+    # Rules that reject most for their cost come first.
+    order = quality_rules.rule_order(spark.createDataFrame([(k, "few words") for k in range(50)], "doc_id long, text string"))
+    assert order[0][1] == 1.0 and all(a[1] / a[2] >= b[1] / b[2] for a, b in zip(order, order[1:], strict=False))
+
+
 def corpus(spark, n=240):
     rng = np.random.default_rng(8)
     texts, labels = [], []
@@ -132,24 +268,97 @@ def test_toxicity_held_out(spark):
     assert np.mean([(r["score"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.97
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
     assert {r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
+    # Another text under a repeated id, a very long text, and one without an example.
+    more = spark.createDataFrame([(0, "vilex viley " * 30, 1.0, "x"), (0, "w1 w2 w3", 1.0, "x"), (1, "vilex w5 " * 100_000, 1.0, "x"), (2, None, 1.0, "x"), (3, "unheard of", 1.0, "x")], "doc_id long, text string, score double, evidence string")
+    found = sorted((r["doc_id"], r["score"], len(r["evidence"])) for r in toxicity.score_toxicity(more, index).collect())
+    assert found[0][1] < 0.5 < found[1][1] and found[2][1] > 0.5 and found[3][1:] == found[4][1:] and found[3][2] == 0
 
 
-def test_block_max_search_is_exact():
-    from collections import Counter
+def terms_by_hand(text):
+    out = Counter()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
+        out[w] += 1
+        if len(w) > 5:
+            out[w[:5] + b"*"] += 1
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """Weights, neighbours, votes and calibration, one by one."""
+    docs, labels = corpus(spark, 150)
+    k = 5
+    index = toxicity.fit(docs, labels, examples=40, neighbours=k)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    chosen = sorted(index.ids.tolist())
+    assert len(chosen) == len(set(chosen)) and sum(y[d] for d in chosen) <= 40 and sum(1 - y[d] for d in chosen) <= 40
+    rows = [r["text"] for r in docs.collect()]
+    df = Counter(t for x in rows for t in terms_by_hand(x))
+    seen = [Counter(t for d in chosen if y[d] == c for t in terms_by_hand(texts[d])) for c in (0, 1)]
+    n0, n1 = sum(1 - y[d] for d in chosen), sum(y[d] for d in chosen)
+
+    def vector(text):
+        out = {}
+        for t, n in terms_by_hand(text).items():
+            a, b = seen[1][t], seen[0][t]
+            if a + b:
+                low = (a + b) * (n0 + n1 - a - b) * n1 * n0
+                chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / low if low else 0
+                out[t] = (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[t])) + 1) * (np.sqrt(chi) + 1e-3)
+        size = np.sqrt(sum(x * x for x in out.values()))
+        return {t: x / size for t, x in out.items()}
+
+    own = {d: vector(texts[d]) for d in chosen}
+    place = {int(d): k for k, d in enumerate(index.ids)}
+
+    def vote(v, but=None):
+        cosines = sorted(((-sum(x * own[d].get(t, 0) for t, x in v.items()), place[d], d) for d in chosen if d != but))[:k]
+        return sum(-c * (2 * y[d] - 1) for c, _, d in cosines if c < 0) / k, [d for c, _, d in cosines if c < 0]
 
+    learnt = [d for d in y if zlib.crc32(str(d).encode()) % 5]
+    prior = sum(y[d] for d in learnt) / len(learnt)
+    x, t = np.array([vote(own[d], d)[0] for d in chosen]), np.array([y[d] for d in chosen])
+    a, b = toxicity.logistic_curve(x, t.astype(float), np.where(t == 1, prior / t.mean(), (1 - prior) / (1 - t.mean())))
+    assert np.allclose(index.curve, (a, b), rtol=1e-3)
+    for r in toxicity.score_toxicity(docs, index, neighbours=k).collect():
+        want, near = vote(vector(texts[r["doc_id"]]))
+        assert abs(r["vote"] - want) < 1e-4 and abs(r["score"] - 1 / (1 + np.exp(-(a * want + b)))) < 1e-3
+        assert [e["label"] for e in r["evidence"]] == [y[d] for d in near[:3]]
+
+
+def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
-    words = [f"t{i}".encode() for i in range(80)]
-    bags = [Counter(rng.choice(words, int(rng.integers(1, 15))).tolist()) for _ in range(500)]
-    index = toxicity.build_index(bags, rng.integers(0, 2, 500), np.arange(500), sorted(words), rng.integers(1, 90, 80), 500, block=64)
-    dense = np.zeros((500, 80))
-    for place, k in enumerate(index.ids.tolist()):
-        at, w = index.query(bags[k])
-        dense[place, at] = w
-    for bag in bags[:60]:
-        at, w = index.query(bag)
-        ids, cosine = index.nearest(at, w, 7)
-        full = dense[:, at] @ w
-        assert np.allclose(np.sort(full)[::-1][:7], cosine, atol=1e-5)
+    words = [f"t{i}{'x' * (i % 9)}" for i in range(80)]
+    chance = 1 / np.arange(1, 81)
+    say = lambda n: " ".join(rng.choice(words, n, p=chance / chance.sum())).encode()
+    texts = [say(int(rng.integers(1, 15))) for _ in range(500)]
+    texts[7] = texts[90] = texts[300]  # ties
+    terms = toxicity.Vocabulary.of(texts)
+    owner, term, n = terms.bags(texts)
+    for dense in (0.0, 0.1, 2.0):
+        index = toxicity.build_index(owner, term, n, rng.integers(0, 2, 500), np.arange(500), terms, rng.integers(1, 90, len(terms)), 500, block=16, dense=dense)
+        whole = np.zeros((500, len(terms)))
+        whole[index.example, np.repeat(np.arange(len(terms)), np.diff(index.begin))] = index.weight
+        asked = [*texts[:60], texts[300], b"", b"unknown", say(3000)]
+        o, t, c = terms.bags(asked)
+        full = np.zeros((len(asked), 500))
+        for a, b, w in zip(o, t, index.weights(o, t, c, len(asked)), strict=True):
+            full[a] += w * whole[:, b]
+        for k in (1, 7, 600):
+            for row, (ids, cosine) in zip(full, index.nearest(asked, k), strict=True):
+                best = np.lexsort((np.arange(500), -row.astype(np.float32)))[:k]
+                best = best[row[best] > 1e-9]
+                assert np.allclose(row[best], cosine, atol=1e-5) and len(ids) == len(best)
+        ids, cosine = index.nearest([texts[300]], 3)[0]
+        tied = sorted(np.flatnonzero(np.isin(index.ids, (7, 90, 300))).tolist())
+        assert ids.tolist() == tied and np.allclose(cosine, 1, atol=1e-5)
+
+
+def test_examples_are_bounded_by_their_bytes(spark):
+    docs, labels = corpus(spark)
+    rows, _ = toxicity.training_rows(docs, labels, "toxic", 5, 0, 50, most_bytes=4000)
+    assert sum(len(t) for _, t, _ in rows) <= 4000 < sum(len(t) for _, t, _ in rows) + 400
+    assert abs(sum(y for _, _, y in rows) - len(rows) / 2) <= 1
 
 
 def test_quality_held_out(spark):
@@ -164,3 +373,28 @@ def test_quality_held_out(spark):
     # One text at a time or together: the same score.
     texts = [(r["text"] or "").encode() for r in docs.limit(9).collect()]
     assert np.allclose(model.score(texts), np.concatenate([model.score([t]) for t in texts]))
+
+
+def test_quality_against_brute_force():
+    """Features and scores, byte by byte."""
+    texts = [b"", b"  \t ", b"aa aa bbb aa", "Grüße, ab abc abcd".encode(), b"x", b"word word " * 30_000]
+    rng = np.random.default_rng(2)
+    model = quality_model.QualityModel(rng.normal(size=1 << 12).astype(np.float32), 0.3, 12)
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 32)) * 0xFF51AFD7ED558CCD) & mask
+        return h ^ (h >> 29)
+
+    for text, got in zip(texts, model.score(texts), strict=True):
+        words, bag = text.split(), Counter()
+        for k, w in enumerate(words):
+            h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(w)) & mask
+            bag[mixed(h) >> 52] += 1
+            bag[quality_model.REPEATED] += k > 0 and words[k - 1] == w
+            edged = b" " + w + b" "
+            for n in (3, 4):
+                for i in range(len(edged) - n + 1):
+                    bag[mixed(((int.from_bytes(edged[i : i + n], "big") + n) * 0x9E3779B97F4A7C15) & mask) >> 52] += 1
+        mean = sum(model.table[b] * n for b, n in bag.items()) / max(sum(bag.values()), 1)
+        assert abs(got - 1 / (1 + np.exp(-(mean + 0.3)))) < 1e-5
