@@ -41,7 +41,9 @@ EXAMPLES, EXAMPLE_BYTES = 2000, 200_000_000
 #: Share of the examples from which a term is frequent.
 NEIGHBOURS, BLOCK, DENSE = 15, 64, 0.025
 #: Texts searched together; blocks that give the first k cosines.
-TOGETHER, FIRST = 256, 3
+TOGETHER, FIRST = 64, 3
+#: Bytes of text whose words are numbered together.
+PART_BYTES = 2_000_000
 #: Bytes of the word beginnings that are terms beside the whole words.
 BEGINNING = 5
 FOLDS, HELD_OUT = 5, 0
@@ -174,7 +176,8 @@ class BlockMaxIndex:
         size = self.begin[term + 1] - self.begin[term]
         ends = np.cumsum(size)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[term] - (ends - size), size)
-        flat = np.repeat(owner * cells, size) + self.example[place]
+        flat = np.repeat(owner * cells, size)
+        flat += self.example[place]
         scores = np.bincount(flat, weights=np.repeat(w, size) * self.weight[place], minlength=n * cells).astype(np.float32).reshape(n, blocks, self.block)
         bound = frequent @ top + scores.max(axis=2)
         order = np.argsort(-bound, axis=1, kind="stable")
@@ -272,7 +275,7 @@ def document_frequencies(docs: DataFrame, terms: Vocabulary) -> tuple[np.ndarray
         count, total = np.zeros(len(own), np.int64), 0
         for batch in batches:
             total += batch.num_rows
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 count += np.bincount(own.bags(as_bytes(part.column("text")))[1], minlength=len(own))
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(count[at], total))], names=["word", "n"])
@@ -280,6 +283,7 @@ def document_frequencies(docs: DataFrame, terms: Vocabulary) -> tuple[np.ndarray
     out, total = np.zeros(len(terms), np.int64), 0
     # At most one row per term of the examples.
     found = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    known.destroy()
     at, n = found.column("word").to_numpy(), found.column("n").to_numpy()
     if len(at):
         out[at[at >= 0]] = n[at >= 0]
@@ -349,7 +353,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, neighbours: int = NEIG
     def run(batches):
         own = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 scores, votes, shown = [], [], []
                 for ids, cosine in own.nearest(as_bytes(part.column("text")), neighbours):
                     votes.append(own.vote(ids, cosine, neighbours))
