@@ -36,7 +36,7 @@ MARKER = "▁"
 OWN_MARKER = "\udfff"
 CHUNK = re.compile(" +[^ ]*|[^ ]+")
 #: Characters of the chunks a worker remembers, and code points of the chunks segmented at once.
-REMEMBERED, AT_ONCE = 4_000_000, 600_000
+REMEMBERED, AT_ONCE = 1_500_000, 400_000
 #: A chunk this long is segmented alone; places of it whose matches are looked up at once.
 LONG, PLACES = 256, 200_000
 
