@@ -401,7 +401,9 @@ def _deduplicated(docs: DataFrame, index: FingerprintIndex, kept: bool, batches:
         part = index.texts(k).join(wanted, "row").select(F.lit(NO_DOC).alias("doc_id"), F.lit(OLD).cast("long").alias("row"), "text", "shared")
         old = part if old is None else old.unionByName(part)
     old = None if old is None else stored(old, "earlier-texts")
-    forget(*found, single, *([met] if call else []))
+    forget(*found, single, *([met, shared] if call else []))
+    if not kept:
+        index.drop()
     release(spark)
     held = stored(texts.join(lists, "row"), "texts")
     if held.count() != lists.count():
