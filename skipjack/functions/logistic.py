@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skipjack.operators.blocks import small
+
 
 def logit(t: float) -> float:
     if not 0 < t < 1:
@@ -29,42 +31,71 @@ def slices(dims: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(a + size, dims)) for a in range(0, dims, size)]
 
 
-def exploded(df: DataFrame, size: int, vector: str = "embedding", row: str = "row_id") -> DataFrame:
-    """block_id, row_id, pos, v."""
-    return df.select(F.floor(F.col(row) / size).cast("long").alias("block_id"), F.col(row).alias("row_id"), F.posexplode(vector).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+def exponents(most: int) -> list[float]:
+    """1 to most."""
+    return [float(p) for p in range(1, most + 1)]
+
+
+def block_vectors(df: DataFrame, size: int, vector: str = "embedding", row: str = "row_id") -> DataFrame:
+    """block_id, row_id, v."""
+    return df.select(F.floor(F.col(row) / size).cast("long").alias("block_id"), F.col(row).alias("row_id"), F.col(vector).cast("array<double>").alias("v"))
+
 
+def dimension_bounds(vectors: DataFrame, dims: int) -> DataFrame:
+    """block_id, lo, hi, center: one array entry per dimension, aggregated by its place without unfolding the vectors."""
+    each = lambda f, name: F.array(*[f(F.get("v", F.lit(i))) for i in range(dims)]).alias(name)
+    return vectors.groupBy("block_id").agg(each(F.min, "lo"), each(F.max, "hi"), each(F.avg, "center"))
 
-def dimension_bounds(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("block_id", "pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("center"))
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-def _weights(df: DataFrame, w: list[float]):
-    return F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("pos") + 1)
+
+def _literal(w: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in w])
 
 
 def interval_range(bounds: DataFrame, w: list[float], b: float) -> DataFrame:
     """block_id, lo, hi of the logit from the bounds of each dimension."""
-    c = _weights(bounds, w)
-    return bounds.groupBy("block_id").agg((F.sum(F.when(c >= 0, c * F.col("lo")).otherwise(c * F.col("hi"))) + b).alias("lo"), (F.sum(F.when(c >= 0, c * F.col("hi")).otherwise(c * F.col("lo"))) + b).alias("hi"))
+    first = bounds.select(F.size("lo").alias("n")).first()
+    if first and first["n"] != len(w):
+        raise ValueError("as many weights as dimensions")
+    end = lambda up, down: _total(F.zip_with(F.zip_with(_literal(w), up, lambda c, x: F.struct(c.alias("c"), x.alias("x"))), down, lambda s, x: F.when(s["c"] >= 0, s["c"] * s["x"]).otherwise(s["c"] * x)))
+    return bounds.select("block_id", (end("lo", "hi") + b).alias("lo"), (end("hi", "lo") + b).alias("hi"))
+
+
+def _norm(values: Column, q: float) -> Column:
+    """q-norm of an array of distances."""
+    if math.isinf(q):
+        return F.array_max(values)
+    return _total(values) if q == 1 else F.pow(_total(F.transform(values, lambda x: F.pow(x, F.lit(q)))), F.lit(1 / q))
+
 
+def ball_metadata(vectors: DataFrame, bounds: DataFrame, exponents: list[float], dims: int, slice_size: int | None = None) -> DataFrame:
+    """block_id, slice, p, radius: the largest dual norm of a row's distance to the block's mean, per weight norm p.
 
-def ball_metadata(cells: DataFrame, bounds: DataFrame, exponents: list[float], slice_size: int | None = None) -> DataFrame:
-    """block_id, slice, p, radius: the largest dual norm of a row's distance to the block's mean, per weight norm p."""
-    piece = F.floor(F.col("pos") / slice_size).cast("int") if slice_size else F.lit(0)
-    gap = cells.join(bounds.select("block_id", "pos", "center"), ["block_id", "pos"]).select("block_id", "row_id", piece.alias("slice"), F.abs(F.col("v") - F.col("center")).alias("d"))
+    A row's norms are taken in the row; only their maxima are exchanged. The means meet the rows without exchanging them while
+    their checked number allows.
+    """
+    parts = slices(dims, slice_size or dims)
+    gap = vectors.join(small(bounds.select("block_id", "center")), "block_id").select("block_id", F.zip_with("v", "center", lambda a, c: F.abs(a - c)).alias("d"))
     aggs = []
-    for i, p in enumerate(exponents):
-        q = dual(p)
-        aggs.append((F.max("d") if math.isinf(q) else F.sum("d") if q == 1 else F.pow(F.sum(F.pow("d", F.lit(q))), F.lit(1 / q))).alias(f"r{i}"))
-    rows = gap.groupBy("block_id", "slice", "row_id").agg(*aggs).groupBy("block_id", "slice").agg(*[F.max(f"r{i}").alias(f"r{i}") for i in range(len(exponents))])
-    pairs = ", ".join(f"{'double(\'Infinity\')' if math.isinf(p) else f'double({p})'}, r{i}" for i, p in enumerate(exponents))
-    return rows.selectExpr("block_id", "slice", f"stack({len(exponents)}, {pairs}) AS (p, radius)")
+    for s, (a, z) in enumerate(parts):
+        own = F.slice("d", a + 1, z - a)
+        for i, p in enumerate(exponents):
+            q = dual(p)
+            aggs.append(F.max(_norm(own, q)).alias(f"r{s}_{i}"))
+    rows = gap.groupBy("block_id").agg(*aggs)
+    number = lambda p: "double('Infinity')" if math.isinf(p) else f"double({p})"
+    entries = ", ".join(f"{s}, {number(p)}, r{s}_{i}" for s in range(len(parts)) for i, p in enumerate(exponents))
+    return rows.selectExpr("block_id", f"stack({len(parts) * len(exponents)}, {entries}) AS (slice, p, radius)")
 
 
 def ball_range(balls: DataFrame, bounds: DataFrame, w: list[float], b: float, exponents: list[float], slice_size: int | None = None) -> DataFrame:
     """block_id, p, lo, hi: centre logit plus and minus the sum over slices of |w| times radius."""
-    mid = bounds.groupBy("block_id").agg((F.sum(_weights(bounds, w) * F.col("center")) + b).alias("mid"))
+    mid = bounds.select("block_id", (_total(F.zip_with("center", _literal(w), lambda c, x: c * x)) + b).alias("mid"))
     parts = slices(len(w), slice_size or len(w))
+    # One row per exponent and slice.
     norms = balls.sparkSession.createDataFrame([(float(p), s, norm(w[a:z], p)) for p in exponents for s, (a, z) in enumerate(parts)], "p double, slice int, wn double")
     reach = balls.join(F.broadcast(norms), ["p", "slice"]).groupBy("block_id", "p").agg(F.sum(F.col("wn") * F.col("radius")).alias("reach"))
     return reach.join(mid, "block_id").select("block_id", "p", (F.col("mid") - F.col("reach")).alias("lo"), (F.col("mid") + F.col("reach")).alias("hi"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to this width the Column form stays within one generated method.
@@ -85,6 +85,15 @@ class Mlp:
             raise ValueError("a regressor predicate needs both bounds")
         return valid(self.features) & self.column().between(lo, hi)
 
+    @classmethod
+    def from_state(cls, state: dict[str, np.ndarray], features: list[str], classes: int = 0) -> Mlp:
+        """From a state dictionary in layer order: two-dimensional entries are weights (outputs x inputs), the others biases."""
+        weights = [np.asarray(v, float) for v in state.values() if np.ndim(v) == 2]
+        biases = [np.asarray(v, float).ravel() for v in state.values() if np.ndim(v) == 1]
+        if len(weights) != len(biases) or any(w.shape[0] != len(b) for w, b in zip(weights, biases, strict=True)):
+            raise ValueError("weights and biases do not pair up")
+        return cls(list(zip(weights, biases, strict=True)), features, classes)
+
     def to_json(self) -> str:
         return json.dumps({"layers": [[w.tolist(), b.tolist()] for w, b in self.layers], "features": self.features, "classes": self.classes})
 
@@ -141,12 +150,29 @@ def train(x: np.ndarray, y: np.ndarray, features: list[str], classes: int = 0, h
                 v[i] = 0.999 * v[i] + 0.001 * d * d
                 p -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     net = Mlp(fold([tuple(x) for x in layers], mx, sx, my, sy), features, classes)
-    return net, metrics(y[va], net.predict(x[va]), classes)
+    return net, metrics(y[va], net.predict(x[va]), classes, None if classes else float(y[tr].mean()))
 
 
-def metrics(y: np.ndarray, p: np.ndarray, classes: int = 0) -> dict:
+def metrics(y: np.ndarray, p: np.ndarray, classes: int = 0, baseline: float | None = None) -> dict:
+    """Of predictions p; baseline: the constant to compare with (the training mean)."""
     if classes:
         return {"accuracy": float((y == p).mean())}
     rmse = float(np.sqrt(((y - p) ** 2).mean()))
     std, span = float(y.std()), float(y.max() - y.min())
-    return {"mae": float(np.abs(y - p).mean()), "rmse": rmse, "rmse_over_std": rmse / std if std else None, "rmse_over_range": rmse / span if span else None}
+    out = {"mae": float(np.abs(y - p).mean()), "rmse": rmse, "rmse_over_std": rmse / std if std else None, "rmse_over_range": rmse / span if span else None}
+    if baseline is not None:
+        plain = float(np.sqrt(((y - baseline) ** 2).mean()))
+        out |= {"baseline_rmse": plain, "baseline_ratio": rmse / max(plain, 1e-6)}
+    return out
+
+
+def prediction_metrics(rows: DataFrame, prediction: str, target: str) -> DataFrame:
+    """The same over a table, in one pass for the mean and one for the rest: mae, rmse, over std, over range, over the mean's rmse."""
+    p, t = F.col(prediction), F.col(target)
+    out = rows.agg(F.avg(F.abs(p - t)).alias("mae"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"), F.stddev_pop(t).alias("std"), (F.max(t) - F.min(t)).alias("span"))
+    # The mean predicts with an error of one standard deviation.
+    return out.select("mae", "rmse", (F.col("rmse") / F.greatest("std", F.lit(1e-6))).alias("rmse_over_std"), (F.col("rmse") / F.greatest("span", F.lit(1e-6))).alias("rmse_over_range"))
+
+
+def accuracy(rows: DataFrame, prediction: str, target: str) -> DataFrame:
+    return rows.agg(F.avg((F.col(prediction) == F.col(target)).cast("double")).alias("accuracy"))

@@ -31,18 +31,37 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return plain.join(first.select("_file", "_first"), "_file").withColumn(ROW_ID, F.col(ROW_ID) + F.col("_first")).drop("_file", "_first")
 
 
-def to_parquet(spark: SparkSession, csv: str, out: str, schema=None) -> None:
+def to_parquet(spark: SparkSession, csv: str | list[str], out: str, schema=None) -> None:
     """CSV with a header to Parquet, once."""
     reader = spark.read.option("header", True)
     (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(csv).write.mode("overwrite").parquet(out)
 
 
+def load_csv(spark: SparkSession, csv: str | list[str], out: str, schema=None) -> DataFrame:
+    """CSV files (one or many parts) as a table with row ids: converted once, rows in order of the parts."""
+    to_parquet(spark, csv, out, schema)
+    return read_table(spark, out)
+
+
+def ensure_row_ids(df: DataFrame, path: str) -> DataFrame:
+    """df if its row ids are dense from 0; otherwise the table stored at path with new ones, in the order of the old."""
+    if check_row_ids(df):
+        return df
+    df.withColumnRenamed(ROW_ID, "old_row_id").sort("old_row_id").drop("old_row_id").write.parquet(path)
+    return read_table(df.sparkSession, path)
+
+
 def check_row_ids(df: DataFrame) -> bool:
     """Ids start at 0 and are dense (an empty table passes)."""
     low, high, n = df.agg(F.min(ROW_ID), F.max(ROW_ID), F.count("*")).first()
     return n == 0 or (low == 0 and high == n - 1)
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def block_of(size: int) -> Column:
     return F.floor(F.col(ROW_ID) / size).cast("long")
 

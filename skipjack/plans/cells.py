@@ -7,11 +7,15 @@ cell its box overlaps, the function over the common box meets the range: an oute
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skipjack.functions.mlp import Mlp
+from skipjack.operators.blocks import small
 
 
 def _shrink(lo, hi, planes, rounds=4):
@@ -62,10 +66,11 @@ def cell_table(spark: SparkSession, cells: list[tuple], names: list[str]) -> Dat
     return spark.createDataFrame(rows, ", ".join(kinds))
 
 
-def reachable(meta: DataFrame, cells: DataFrame, names: list[str], lo: float, hi: float) -> DataFrame:
-    """block_id, reachable: overlap join of block boxes with cells, then bool_or per block; blocks without a cell: false.
+def reachable(meta: DataFrame, cells: DataFrame, names: list[str], lo: float, hi: float, within: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """block_id, reachable: overlap join of block boxes with cells, then bool_or per block.
 
-    The cells are a model's, their number is fixed at compile time, so they are the side that is sent around.
+    within: the box for which the cells were built; a block that reaches beyond it (or to no cell) stays reachable. The cells are
+    a model's and are sent around if their checked number allows.
     """
     meet = F.lit(True)
     for n in names:
@@ -75,11 +80,58 @@ def reachable(meta: DataFrame, cells: DataFrame, names: list[str], lo: float, hi
         a, z, w = F.greatest(f"{n}_lo", f"c_{n}_lo"), F.least(f"{n}_hi", f"c_{n}_hi"), F.col(f"c_{n}_w")
         low, high = low + F.least(w * a, w * z), high + F.greatest(w * a, w * z)
     hit = F.when(F.col("cell_id").isNotNull(), (high >= lo) & (low <= hi))
-    return meta.join(F.broadcast(cells), meet, "left").groupBy("block_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("reachable"))
+    out = F.lit(False)
+    for n, a, z in zip(names, within[0], within[1], strict=True):
+        out = out | (F.col(f"{n}_lo") < float(a)) | (F.col(f"{n}_hi") > float(z))
+    return meta.join(small(cells), meet, "left").groupBy("block_id").agg((F.bool_or(out) | F.coalesce(F.bool_or(hit), F.lit(True))).alias("reachable"))
+
 
+def corner_rows(net: Mlp) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high, factors, constants): every point where the extremes of a one-layer net over a box can lie.
 
-def inside_range(meta: DataFrame, cells: DataFrame, names: list[str], lo: float, hi: float) -> DataFrame:
-    """block_id, inside: the function stays within the range over the whole box (proved by the cells' bounds)."""
-    below = reachable(meta, cells, names, float("-inf"), lo).withColumnRenamed("reachable", "below")
-    above = reachable(meta, cells, names, hi, float("inf")).withColumnRenamed("reachable", "above")
-    return below.join(above, "block_id").select("block_id", (~F.col("below") & ~F.col("above")).alias("inside"))
+    Such a point fixes some inputs at an end of the box (high: which end) and the others by as many hinges (zero sets of hidden units):
+    input i is constants[i] + factors[i] . ends, so one table serves every box.
+    """
+    if len(net.layers) != 2:
+        raise ValueError("corners are for one hidden layer")
+    w, b = net.layers[0]
+    n = w.shape[1]
+    high, factors, constants = [], [], []
+    for k in range(min(n, len(b)) + 1):
+        for free in combinations(range(n), k):
+            fixed = [i for i in range(n) if i not in free]
+            for units in combinations(range(len(b)), k):
+                own = w[np.ix_(units, free)]
+                if k and abs(np.linalg.det(own)) < 1e-12:
+                    continue
+                f, c = np.zeros((n, n)), np.zeros(n)
+                f[fixed, fixed] = 1
+                if k:
+                    f[np.ix_(free, fixed)] = -np.linalg.solve(own, w[np.ix_(units, fixed)])
+                    c[list(free)] = -np.linalg.solve(own, b[list(units)])
+                for ends in product((False, True), repeat=len(fixed)):
+                    at = np.zeros(n, bool)
+                    at[fixed] = ends
+                    high.append(at)
+                    factors.append(f)
+                    constants.append(c)
+    return np.array(high), np.array(factors), np.array(constants)
+
+
+def corner_ranges(meta: DataFrame, net: Mlp, names: list[str]) -> DataFrame:
+    """block_id, lo, hi: exact range of a one-layer regressor of any number of inputs over each block's box, by its corners."""
+    high, factors, constants = corner_rows(net)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                pdf = whole.iloc[at : at + 1000]
+                lo, hi = (pdf[[f"{x}_{s}" for x in names]].to_numpy(float) for s in ("lo", "hi"))
+                ends = np.where(high[None], hi[:, None], lo[:, None])
+                x = constants + np.einsum("cij,bcj->bci", factors, ends)
+                slack = 1e-12 * (1 + np.abs(x))
+                inside = ((x >= lo[:, None] - slack) & (x <= hi[:, None] + slack)).all(axis=2)
+                value = net.forward(x.reshape(-1, len(names)))[:, 0].reshape(inside.shape)
+                yield pd.DataFrame({"block_id": pdf.block_id, "lo": np.where(inside, value, np.inf).min(1), "hi": np.where(inside, value, -np.inf).max(1)})
+
+    return meta.mapInPandas(run, "block_id long, lo double, hi double")

@@ -29,9 +29,9 @@ def truth_summary(truth: DataFrame) -> DataFrame:
     return truth.groupBy("filter").agg(F.sum("n_rows").alias("n_rows"), F.sum((F.col("n_rows") > 0).cast("int")).cast("long").alias("n_blocks"))
 
 
-def cache_key(table: str, net: Mlp, size: int, predicate: str) -> str:
-    """Content hash: a model that changes gets another key."""
-    return hashlib.sha1(json.dumps([table, net.to_json(), size, predicate], sort_keys=True).encode()).hexdigest()[:24]
+def cache_key(table: str, net: Mlp, size: int, predicate: str, version: str = "", blocks: list[int] | None = None) -> str:
+    """Content hash: another model, table content (version: storage.fingerprint) or set of blocks has another key."""
+    return hashlib.sha1(json.dumps([table, version, net.to_json(), size, predicate, None if blocks is None else sorted(blocks)]).encode()).hexdigest()[:24]
 
 
 class TruthCache:
@@ -59,6 +59,21 @@ def qualified_per_block(cached: DataFrame, blocks: DataFrame, size: int) -> Data
     return blocks.select("block_id").join(n, "block_id", "left").select("block_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
 
 
+def inspect_block(table: DataFrame, meta: DataFrame, verdicts: DataFrame, match: Column, block: int, size: int, training_rows: int = 0) -> DataFrame:
+    """One block's metadata and verdict beside its own count; blocks of the training prefix are refused."""
+    if block * size < training_rows:
+        raise ValueError(f"block {block} holds training rows")
+    n = with_block_id(table, size).where(F.col("block_id") == block).groupBy("block_id").agg(F.count("*").alias("rows_in_block"), F.sum(match.cast("int")).cast("long").alias("matching"))
+    return meta.where(F.col("block_id") == block).join(verdicts, "block_id").join(n, "block_id")
+
+
+def evaluation(meta: DataFrame, verdicts: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per block: verdict, matching rows (truth: block_id, n_rows), whether the verdict was right to skip."""
+    joined = meta.select("block_id").join(verdicts, "block_id").join(truth, "block_id", "left")
+    n = F.coalesce("n_rows", F.lit(0)).cast("long")
+    return joined.select("block_id", "should_skip", n.alias("matching"), (F.col("should_skip") & (n > 0)).alias("false_skip"))
+
+
 def effectiveness(skipped: Column, skippable: Column) -> Column:
     """Per cent of the skippable blocks that were skipped; nothing to skip counts as 100."""
     return F.when(skippable == 0, F.lit(100.0)).otherwise(100.0 * skipped / skippable)

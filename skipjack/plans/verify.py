@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skipjack.functions.mlp import Mlp
+from skipjack.functions.mlp import COLUMN_WIDTH, Mlp
 
 UNSAT, SAT, TIMEOUT, ERROR = "unsat", "sat", "timeout", "error"
 #: Outward slack for inference in another precision or order of sums.
@@ -45,8 +45,8 @@ def interval_bounds(net: Mlp, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
     return lo, hi
 
 
-def linear_bounds(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) -> float:
-    """Lower bound of goal . outputs over a box by backward linear relaxation of the ReLUs."""
+def linear_form(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, float]:
+    """(c, d): c . x + d is at most goal . outputs everywhere in the box (backward linear relaxation of the ReLUs)."""
     bounds, a, z = [], lo, hi
     for w, b in net.layers[:-1]:
         p, n = np.maximum(w, 0), np.minimum(w, 0)
@@ -63,6 +63,18 @@ def linear_bounds(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) ->
         d += float((np.minimum(c, 0) * shift).sum())
         c = np.where(c >= 0, c * low, c * up)
         c, d = c @ w, d + float(c @ b)
+    return c, d
+
+
+def plain_bound(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) -> float:
+    """Lower bound of goal . outputs by intervals; now and then the better one."""
+    a, z = interval_bounds(net, lo, hi)
+    return float(np.where(goal >= 0, goal * a, goal * z).sum())
+
+
+def linear_bounds(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) -> float:
+    """Lower bound of goal . outputs over a box."""
+    c, d = linear_form(net, lo, hi, goal)
     return float(np.where(c >= 0, c * lo, c * hi).sum() + d)
 
 
@@ -81,28 +93,95 @@ def goals(net: Mlp, lo: float | None, hi: float | None, target: int | None) -> l
     return [(one, float(hi)), (-one, -float(lo))]
 
 
-def exact_status(net: Mlp, lo: np.ndarray, hi: np.ndarray, lo_out=None, hi_out=None, target=None, half_spaces=(), pair=(0, 1), budget: int = 400) -> str:
-    """Branch on the widest input until every part is proved empty; beyond the budget: timeout (keeps the block).
+class Region:
+    """A box, cut by half-spaces a x + b y <= c over two of the inputs whose corners are known (none: the box alone)."""
+
+    def __init__(self, half_spaces=(), pair: tuple[int, int] = (0, 1), corners: np.ndarray | None = None):
+        self.planes, self.pair, self.corners = list(half_spaces), pair, corners
+
+    def holds(self, x: np.ndarray) -> bool:
+        i, j = self.pair
+        return all(p * x[i] + q * x[j] <= c for p, q, c in self.planes)
+
+    def apart(self, lo: np.ndarray, hi: np.ndarray) -> bool:
+        """Whether a part of the box lies outside one of the half-spaces."""
+        i, j = self.pair
+        return any(min(p * lo[i], p * hi[i]) + min(q * lo[j], q * hi[j]) > c + SLACK * (1 + abs(c)) for p, q, c in self.planes)
 
-    Half-spaces a x + b y <= c bound two of the inputs; a part that lies outside one holds no point of the block.
+    def least(self, c: np.ndarray, d: float, lo: np.ndarray, hi: np.ndarray) -> float:
+        """Lower bound of c . x + d over the part: over its box, and over the corners for the pair."""
+        each = np.where(c >= 0, c * lo, c * hi)
+        out = float(each.sum() + d)
+        if self.corners is not None and len(self.corners) > 2:
+            i, j = self.pair
+            out = max(out, out - float(each[i] + each[j]) + float((self.corners @ c[[i, j]]).min()))
+        return out
+
+
+def reaches(net: Mlp, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray, least: float, region: Region, budget: int) -> bool | None:
+    """Is there a point of the region where goal . outputs <= least? None: not decided within the budget of parts."""
+    parts, used = [(lo.astype(float), hi.astype(float))], 0
+    while parts:
+        a, z = parts.pop()
+        used += 1
+        if region.apart(a, z):
+            continue
+        c, d = linear_form(net, a, z, goal)
+        bound = max(region.least(c, d, a, z), plain_bound(net, a, z, goal))
+        if bound > least + SLACK * (1 + abs(bound)):
+            continue
+        # Likely points: where the linear form is least, the middle, and the region's own corners.
+        tried = [np.where(c >= 0, a, z), (a + z) / 2]
+        if used == 1 and region.corners is not None and len(region.corners):
+            i, j = region.pair
+            for corner in region.corners:
+                x = tried[0].copy()
+                x[[i, j]] = corner
+                tried.append(x)
+        own = [k for k, x in enumerate(tried) if k > 1 or region.holds(x)]
+        if own and (net.forward(np.array([tried[k] for k in own])) @ goal <= least).any():
+            return True
+        if used >= budget:
+            return None
+        width = (z - a) * np.maximum(np.abs(c), 1e-9)
+        k = int(np.argmax(width))
+        if z[k] <= a[k]:
+            return True  # a point within the slack
+        middle = (a[k] + z[k]) / 2
+        left, right = z.copy(), a.copy()
+        left[k] = right[k] = middle
+        halves = [(a, left), (right, z)]
+        parts += halves if c[k] < 0 else halves[::-1]  # the likelier half last, so first
+    return False
+
+
+def exact_status(net: Mlp, lo: np.ndarray, hi: np.ndarray, lo_out=None, hi_out=None, target=None, half_spaces=(), pair=(0, 1), budget: int = 400, corners: np.ndarray | None = None) -> str:
+    """Does a point of the block's region satisfy the predicate? Beyond the budget: timeout (keeps the block).
+
+    A regressor is continuous and the region is connected, so a value in [lo_out, hi_out] is taken exactly if some value is at most
+    hi_out and some value is at least lo_out: two one-sided searches. A classifier's region is cut until every part is
+    proved or a point is found.
     """
     if not np.isfinite(lo).all() or not np.isfinite(hi).all():
         return ERROR
+    region = Region(half_spaces, pair, corners)
+    if not net.classes:
+        one = np.ones(1)
+        below = reaches(net, lo, hi, one, float(hi_out), region, budget)
+        above = False if below is False else reaches(net, lo, hi, -one, -float(lo_out), region, budget)
+        return UNSAT if below is False or above is False else SAT if below and above else TIMEOUT
     pairs, parts, used = goals(net, lo_out, hi_out, target), [(lo.astype(float), hi.astype(float))], 0
-    slack = lambda v: SLACK * (1 + abs(v))
     first = hi - lo
     while parts:
         a, z = parts.pop()
         used += 1
-        i, j = pair
-        if any(min(p * a[i], p * z[i]) + min(q * a[j], q * z[j]) > c + slack(c) for p, q, c in half_spaces):
+        if region.apart(a, z):
             continue
-        if any((v := linear_bounds(net, a, z, g)) > t + slack(v) for g, t in pairs):
+        bounds = [(max(region.least(*linear_form(net, a, z, g), a, z), plain_bound(net, a, z, g)), t) for g, t in pairs]
+        if any(v > t + SLACK * (1 + abs(v)) for v, t in bounds):
             continue
         mid = (a + z) / 2
-        out = net.forward(mid[None, :])[0]
-        inside = all(p * mid[i] + q * mid[j] <= c for p, q, c in half_spaces)
-        if inside and (out.argmax() == target if net.classes else lo_out <= out[0] <= hi_out):
+        if region.holds(mid) and net.forward(mid[None, :])[0].argmax() == target:
             return SAT
         if used >= budget:
             return TIMEOUT
@@ -115,8 +194,11 @@ def exact_status(net: Mlp, lo: np.ndarray, hi: np.ndarray, lo_out=None, hi_out=N
     return UNSAT
 
 
-def verdicts(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None, exact: bool = True, budget: int = 100) -> DataFrame:
-    """meta(block_id, <name>_lo, <name>_hi[, hull of the first two]) -> block_id, status, should_skip."""
+def verdicts(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None, exact: bool = True, budget: int = 400) -> DataFrame:
+    """meta(block_id, <name>_lo, <name>_hi[, hull of the first two]) -> block_id, status, should_skip.
+
+    Not exact: one linear relaxation over the whole region decides.
+    """
     hulls = "hull" in meta.columns
 
     def run(batches):
@@ -127,15 +209,30 @@ def verdicts(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, targ
             for r in pdf.itertuples(index=False):
                 a = np.array([getattr(r, f"{n}_lo") for n in names], float)
                 z = np.array([getattr(r, f"{n}_hi") for n in names], float)
-                planes = half_spaces(np.array([[p["x"], p["y"]] for p in r.hull])) if hulls and r.hull is not None else ()
-                status.append(exact_status(net, a, z, lo, hi, target, planes, budget=budget if exact else 1))
+                corners = np.array([[p["x"], p["y"]] for p in r.hull]).reshape(-1, 2) if hulls and r.hull is not None else None
+                planes = () if corners is None else half_spaces(corners)
+                status.append(exact_status(net, a, z, lo, hi, target, planes, budget=budget if exact else 1, corners=corners if planes else None))
             yield pd.DataFrame({"block_id": pdf.block_id, "status": status, "should_skip": [s == UNSAT for s in status]})
 
     return meta.mapInPandas(run, "block_id long, status string, should_skip boolean")
 
 
 def interval_verdicts(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None) -> DataFrame:
-    """block_id, should_skip by interval bounds; no Python."""
+    """block_id, should_skip by interval bounds: Columns for narrow nets, Arrow batches for wide ones (their text does not compile)."""
+    if len(net.layers) > 1 and net.width > COLUMN_WIDTH:
+        n = len(names)
+
+        def judge(*ends: pd.Series) -> pd.Series:
+            a, z = (np.column_stack([c.to_numpy(float) for c in part]) for part in (ends[:n], ends[n:]))
+            low, high = interval_bounds(net, a, z)
+            low, high = low - SLACK * (1 + np.abs(low)), high + SLACK * (1 + np.abs(high))
+            if net.classes:
+                rest = np.delete(low, target, axis=1)
+                return pd.Series((rest > high[:, [target]]).any(axis=1))
+            return pd.Series((low[:, 0] > hi) | (high[:, 0] < lo))
+
+        skip = F.pandas_udf(judge, "boolean")(*[F.col(f"{x}_{s}").cast("double") for s in ("lo", "hi") for x in names])
+        return meta.select("block_id", F.coalesce(skip, F.lit(False)).alias("should_skip"))
     out = interval_columns(net, [F.col(f"{n}_lo") for n in names], [F.col(f"{n}_hi") for n in names])
     slack = lambda c: F.lit(SLACK) * (F.lit(1.0) + F.abs(c))
     if net.classes:
@@ -159,3 +256,24 @@ def grid_verdicts(cells: DataFrame, box: DataFrame, net: Mlp, names: list[str],
     cut = whole.select(F.struct("block_id", "cell").alias("block_id"), *[c.alias(f"{n}_{s}") for n, s, c in zip((x, x, y, y), ("lo", "hi", "lo", "hi"), rect, strict=True)], *[f"{n}_{s}" for n in names if n not in pair for s in ("lo", "hi")])
     found = interval_verdicts(cut, net, names, lo, hi, target)
     return found.select(F.col("block_id.block_id").alias("block_id"), "should_skip").groupBy("block_id").agg(F.bool_and("should_skip").alias("should_skip"))
+
+
+def range_status(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None) -> DataFrame:
+    found = interval_verdicts(meta, net, names, lo, hi, target)
+    return found.select("block_id", F.when(F.col("should_skip"), UNSAT).otherwise(TIMEOUT).alias("status"), "should_skip")
+
+
+#: Verifiers by name: (meta, net, names, lo, hi, target) -> block_id, status, should_skip. Only a proof skips.
+VERIFIERS = {
+    "interval": range_status,
+    "linear": lambda *a, **k: verdicts(*a, exact=False, **k),
+    "exact": verdicts,
+}
+
+
+def verify(kind: str, meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None) -> DataFrame:
+    """The named verifier's verdicts; block_id, status text, should_skip."""
+    if kind not in VERIFIERS:
+        raise ValueError(f"unknown verifier {kind}; known: {', '.join(VERIFIERS)}")
+    found = VERIFIERS[kind](meta, net, names, lo=lo, hi=hi, target=target)
+    return found.select("block_id", status_text(F.col("status")).alias("status"), "should_skip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import asdict, dataclass
 
 #: Filters aimed at per template, and the least number per width.
@@ -42,11 +44,12 @@ def per_width(samples: int, n_widths: int) -> int:
 
 
 def starts(low: float, high: float, width: float, count: int) -> list[float]:
-    """Evenly spaced from low to the last start that fits."""
+    """Evenly spaced from low to the last start that fits, rounded half to even, held to that span."""
     last = high - width
-    if last <= low or count == 1:
-        return [low]
-    return [min(max(low + (last - low) * k / (count - 1), low), last) for k in range(count)]
+    if last <= low or count <= 1:
+        return [float(low)]
+    step = (last - low) / (count - 1)
+    return [float(max(low, min(round(low + step * k), last))) for k in range(count)]
 
 
 def regressor_filters(table: str, model: str, low: float, high: float, alpha: float = 2.0, samples: int = 10) -> list[FilterSpec]:
@@ -61,5 +64,32 @@ def regressor_filters(table: str, model: str, low: float, high: float, alpha: fl
     return out
 
 
+def sorted_filters(filters: list[FilterSpec], counts: dict[str, int]) -> list[FilterSpec]:
+    """By matching rows, width, start and name."""
+    width = lambda f: 0.0 if f.lo is None else f.hi - f.lo
+    return sorted(filters, key=lambda f: (counts[f.name], width(f), f.lo or 0.0, f.name))
+
+
+def one_per_template(filters: list[FilterSpec]) -> list[FilterSpec]:
+    """The first filter of each (table, model), in the order met."""
+    seen: dict[tuple[str, str], FilterSpec] = {}
+    for f in filters:
+        seen.setdefault((f.table, f.model), f)
+    return list(seen.values())
+
+
+def grouped(filters: list[FilterSpec]) -> dict[tuple[str, str], list[FilterSpec]]:
+    """Filters by (table, model), groups and members in the order met."""
+    out: dict[tuple[str, str], list[FilterSpec]] = {}
+    for f in filters:
+        out.setdefault((f.table, f.model), []).append(f)
+    return out
+
+
+def workload_digest(table: str, model: str, alpha: float, samples: int, seed: int, low: float, high: float) -> str:
+    """Name part of a generated workload: another parameter, another file."""
+    return hashlib.sha1(json.dumps([table, model, alpha, samples, seed, low, high]).encode()).hexdigest()[:12]
+
+
 def classifier_filters(table: str, model: str, classes: list[int]) -> list[FilterSpec]:
     return [FilterSpec(f"{model}_class{c}", table, model, target=c) for c in sorted(classes)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,15 +13,28 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-def importable(query):
-    """Wrap f(spark, ...): Python workers find this package where it lies, whatever folder the driver runs in.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers find this package: local ones where it lies, those of a cluster in an archive that Spark sends them once."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    context.environment.setdefault("PYTHONPATH", ROOT)
+    if not context.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="skipjack-")
+        atexit.register(shutil.rmtree, folder, True)  # executors fetch the archive from the driver as long as it runs
+        context.addPyFile(shutil.make_archive(f"{folder}/skipjack-package", "zip", ROOT, "skipjack"))
 
-    On a cluster without a shared installation, ship the package with --py-files instead.
-    """
+
+def importable(query):
+    """Wrap f(spark, ...) so that the session's workers can import this package."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args):
-        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        ship(spark)
         return query(spark, *args)
 
     return run

@@ -98,7 +98,23 @@ def save_functions(functions: list[FunctionSpec], path: str | Path) -> None:
     Path(path).write_text(json.dumps([asdict(f) for f in functions], indent=1))
 
 
-#: The functions whose inputs the supplied tables hold.
+def missing_tables(spark, root: str, tables: list[str], ending: str = "parquet") -> list[str]:
+    """The tables without a file or folder root/<table>.<ending>."""
+    from skipjack.storage import exists
+
+    return [t for t in tables if not exists(spark, f"{root}/{t}.{ending}")]
+
+
+def check_tables(spark, root: str, tables: list[str], ending: str = "parquet") -> None:
+    if missing := missing_tables(spark, root, tables, ending):
+        raise FileNotFoundError(f"no {ending} files for: {', '.join(missing)}")
+
+
+def table_exists(spark, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+#: The functions whose inputs the supplied tables hold, with their target and feature expressions.
 STAR_FUNCTIONS = [
     FunctionSpec("discounted_price", "lineitem", "regressor", "l_extendedprice * (1 - l_discount)", {"price": "CAST(l_extendedprice AS DOUBLE)", "discount": "CAST(l_discount AS DOUBLE)"}),
     FunctionSpec("charge", "lineitem", "regressor", "l_extendedprice * (1 - l_discount) * (1 + l_tax)", {"price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}),

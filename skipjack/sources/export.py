@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skipjack import storage
+from skipjack.functions.mlp import Mlp
+from skipjack.plans.decompose import Compiled, compile_network, compiled, tables
+
 
 def export_metadata(meta: DataFrame, root: str, table: str, model: str, kind: str) -> str:
     path = f"{root}/{table}/{model}/{kind}-metadata"
@@ -47,14 +52,26 @@ def drop_stale(folder: str | Path, stem: str, keep: str) -> list[Path]:
     return gone
 
 
-def write_cells(spark: SparkSession, cells: DataFrame, path: str) -> None:
-    cells.coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        raise FileNotFoundError(f"no compiled model at {path}") from e
+def write_compiled(spark: SparkSession, net: Mlp, path: str) -> dict:
+    """Compile a network and write its tables (a folder per dimension, functions, leaves) and the times and sizes; returns the latter."""
+    began = time.perf_counter()
+    pieces = compile_network(net)
+    own = compiled(pieces)
+    done = time.perf_counter()
+    cells, functions, leaves = tables(spark, own)
+    for k, df in enumerate(cells, 1):
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/cell_dim{k}")
+    functions.coalesce(1).write.mode("overwrite").parquet(f"{path}/component_function")
+    leaves.coalesce(1).write.mode("overwrite").parquet(f"{path}/leaf_function")
+    sizes = {"dims": len(cells), "cells": [len(d) for d in own.dims], "functions": len(own.functions), "compile_ms": round(1000 * (done - began), 3), "write_ms": round(1000 * (time.perf_counter() - done), 3)}
+    storage.write_text(spark, f"{path}/metrics.json", json.dumps(sizes))
+    return sizes
+
+
+def read_compiled(spark: SparkSession, path: str) -> Compiled:
+    """The tables of a compiled network; they are a model's and fit the driver."""
+    if not storage.exists(spark, f"{path}/metrics.json"):
+        raise FileNotFoundError(f"no compiled model at {path}")
+    n = json.loads(storage.read_text(spark, f"{path}/metrics.json"))["dims"]
+    rows = lambda name, key: [tuple(r) for r in spark.read.parquet(f"{path}/{name}").orderBy(key).collect()]
+    return Compiled([rows(f"cell_dim{k}", f"id{k}") for k in range(1, n + 1)], rows("component_function", "function_id"), rows("leaf_function", f"id{n}"))
