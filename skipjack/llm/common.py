@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text an Arrow batch is cut into before Python works on it.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Rows of keys (and numbers) that may be sent to every task; a key with more rows than HEAVY_ROWS is hot.
 BROADCAST_ROWS, HEAVY_ROWS = 250_000, 50_000
 
