@@ -84,8 +84,8 @@ def benchmark(table: DataFrame, net: Mlp, names: list[str], spec: FilterSpec, si
         return out
 
     points = rw.block_points(table, dict(zip(names, net.features, strict=True)), size)
+    blocks = timed("metadata_s", lambda: bundle.get(key, points, names, kind, depth).count())
     meta = bundle.get(key, points, names, kind, depth)
-    blocks = timed("metadata_s", meta.count)
 
     def judge():
         if kind == "grid":
