@@ -194,24 +194,69 @@ def exact_status(net: Mlp, lo: np.ndarray, hi: np.ndarray, lo_out=None, hi_out=N
     return UNSAT
 
 
+def is_flat(net: Mlp) -> bool:
+    """Whether `flat_ranges` knows the network: a regressor of two inputs and one hidden layer."""
+    return not net.classes and len(net.layers) == 2 and net.layers[0][0].shape[1] == 2
+
+
+def flat_ranges(net: Mlp, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact ranges of a flat network over boxes (rows of lo and hi), without slack.
+
+    The extremes of a piecewise linear function lie at corners of the box, where a hinge meets a side, or where two hinges
+    meet. Products are summed in the order of Mlp.outputs_sql, so that a bound rounds as a row's prediction does.
+    """
+    (w, b), (v, c) = net.layers
+    sides = lambda k: (lo[:, k], hi[:, k])
+    spots = [(x, y) for x in sides(0) for y in sides(1)]
+    for p, q, r in zip(*w.T.tolist(), b.tolist(), strict=True):
+        spots += [(-(q * y + r) / p, y) for y in sides(1) if p]
+        spots += [(x, -(p * x + r) / q) for x in sides(0) if q]
+    for i in range(len(b)):
+        for j in range(i + 1, len(b)):
+            if w[i, 0] * w[j, 1] != w[i, 1] * w[j, 0]:
+                at = np.linalg.solve(w[[i, j]], -b[[i, j]])
+                spots.append((np.full(len(lo), at[0]), np.full(len(lo), at[1])))
+
+    def linear(factors, inputs, bias):
+        terms = [k * x for k, x in zip(factors.tolist(), inputs, strict=True) if k]
+        return sum(terms[1:], terms[0]) + bias if terms else np.full(len(lo), bias)
+
+    low, high = np.full(len(lo), np.inf), np.full(len(lo), -np.inf)
+    for x, y in spots:
+        inside = (x >= lo[:, 0] - 1e-12) & (x <= hi[:, 0] + 1e-12) & (y >= lo[:, 1] - 1e-12) & (y <= hi[:, 1] + 1e-12)
+        value = linear(v[0], [np.maximum(0.0, linear(k, (x, y), float(r))) for k, r in zip(w, b, strict=True)], float(c[0]))
+        low, high = np.where(inside, np.minimum(low, value), low), np.where(inside, np.maximum(high, value), high)
+    return low, high
+
+
 def verdicts(meta: DataFrame, net: Mlp, names: list[str], lo=None, hi=None, target=None, exact: bool = True, budget: int = 400) -> DataFrame:
     """meta(block_id, <name>_lo, <name>_hi[, hull of the first two]) -> block_id, status, should_skip.
 
-    Not exact: one linear relaxation over the whole region decides.
+    Exact, and a flat network: the boxes' ranges decide, without slack or budget; a hull is searched if its box stays. Not exact:
+    one linear relaxation over the whole region decides.
     """
     hulls = "hull" in meta.columns
+    flat = exact and is_flat(net)
 
     def run(batches):
         from skipjack.operators.blocks import half_spaces
 
         for pdf in batches:
+            ends = [pdf[[f"{n}_{s}" for n in names]].to_numpy(float) for s in ("lo", "hi")]
+            known = np.isfinite(ends[0]).all(axis=1) & np.isfinite(ends[1]).all(axis=1)
+            gone = np.zeros(len(pdf), bool)
+            if flat:
+                with np.errstate(invalid="ignore", over="ignore"):
+                    low, high = flat_ranges(net, *ends)
+                gone = known & ((low > hi) | (high < lo))
+            if flat and not hulls:
+                yield pd.DataFrame({"block_id": pdf.block_id, "status": np.where(gone, UNSAT, np.where(known, SAT, ERROR)), "should_skip": gone})
+                continue
             status = []
-            for r in pdf.itertuples(index=False):
-                a = np.array([getattr(r, f"{n}_lo") for n in names], float)
-                z = np.array([getattr(r, f"{n}_hi") for n in names], float)
+            for k, r in enumerate(pdf.itertuples(index=False)):
                 corners = np.array([[p["x"], p["y"]] for p in r.hull]).reshape(-1, 2) if hulls and r.hull is not None else None
                 planes = () if corners is None else half_spaces(corners)
-                status.append(exact_status(net, a, z, lo, hi, target, planes, budget=budget if exact else 1, corners=corners if planes else None))
+                status.append(UNSAT if gone[k] else exact_status(net, ends[0][k], ends[1][k], lo, hi, target, planes, budget=budget if exact else 1, corners=corners if planes else None))
             yield pd.DataFrame({"block_id": pdf.block_id, "status": status, "should_skip": [s == UNSAT for s in status]})
 
     return meta.mapInPandas(run, "block_id long, status string, should_skip boolean")

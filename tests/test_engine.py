@@ -357,6 +357,47 @@ def test_verdict_queries_decide_both_ways(spark, name):
     assert 0.1 <= np.mean(rows) <= 0.9
 
 
+@pytest.fixture(scope="module")
+def edges(tmp_path_factory):
+    """Blocks of one price each, whose predictions lie a hair outside, at, or inside the predicate's ends."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from skipjack.plans import queries as qs
+
+    def price(value):
+        low, high = 0.3, 3.0
+        for _ in range(200):
+            x = (low + high) / 2
+            low, high = (x, high) if qs.REG.forward(np.array([[x, 0.0]]))[0, 0] < value else (low, x)
+        return low * 1e5
+
+    near = [price(v) for v in (qs.LO - 5e-6, qs.LO - 1e-9, qs.LO + 5e-6, 1.1, qs.HI - 5e-6, qs.HI + 1e-9, qs.HI + 5e-6, 3.0)]
+    n = len(near) * qs.SIZE
+    path = tmp_path_factory.mktemp("edges")
+    columns = {"l_orderkey": np.arange(n), "l_linenumber": np.ones(n, int), "l_extendedprice": np.repeat(near, qs.SIZE), "l_discount": np.zeros(n)}
+    pq.write_table(pa.table(columns), path / "lineitem.parquet")
+    return str(path)
+
+
+def against_sql(spark, name, path):
+    import duckdb
+
+    from skipjack import registry
+
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet'")
+    want = base.execute(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, path).select(*[c[0] for c in want.description])
+    return sorted(map(tuple, got.collect())), sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["V3_exact_verdicts", "V5_hull_verdicts"])
+def test_exact_verdicts_at_the_ends(spark, edges, name):
+    got, want = against_sql(spark, name, edges)
+    assert got == want
+
+
 def test_truth_cache_key_follows_the_content(spark, tmp_path):
     from skipjack.storage import fingerprint
 
