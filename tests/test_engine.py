@@ -392,7 +392,7 @@ def against_sql(spark, name, path):
     return sorted(map(tuple, got.collect())), sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["V3_exact_verdicts", "V5_hull_verdicts", "V1_verifiers", "V23_evaluation"])
+@pytest.mark.parametrize("name", ["V3_exact_verdicts", "V5_hull_verdicts", "V1_verifiers", "V23_evaluation", "V2_status_text"])
 def test_exact_verdicts_at_the_ends(spark, edges, name):
     got, want = against_sql(spark, name, edges)
     assert got == want
