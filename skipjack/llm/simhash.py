@@ -14,8 +14,12 @@ Three bits hold only the closest copies: shingle sets of a Jaccard similarity of
 bits, too many for any routing. With ``similarity`` such copies are linked as well: a document's shingles are sampled
 by least hashes (``SAMPLES`` times ``DRAWN`` of them), documents with an equal sample are compared with the
 sample's first document, and linked if the exact Jaccard similarity of their shingle sets is at least that. Nothing
-is linked unseen; a pair at 0.8 is not met with a probability of (1 - 0.8 ** DRAWN) ** SAMPLES, under 0.001, as long as one of
-the two is first in its samples.
+is linked unseen. The samples only spare work: what they and the fingerprints leave apart goes through an exact join. In one
+order of all shingles two sets of n and m members at a similarity of t share one of their first n - ceil(t n) + 1 and
+m - ceil(t m) + 1, so every such pair of two groups meets in a shingle's bucket. It goes on only if sizes, places and the
+parities of the hashed sets allow the similarity (all three are bounds, none loses a pair) and is compared by its texts. The order
+puts shingles that are frequent in a sample of the rows last, which changes the buckets' sizes and no result; buckets of
+more than ``DEALT`` sets are dealt into pairs of parts over several tasks.
 
 Defined cases: null and blank texts have no shingles and fingerprint zero, linked like any other; fewer words than a shingle has are
 one shingle; repeated rows fall in one group; rows that repeat an id with another text are each grouped by their own; null ids get a
@@ -39,6 +43,8 @@ FAN = 8
 CHUNK, BUCKET_ROWS = 1 << 19, 1 << 16
 #: Samples of a document's shingles, and shingles in a sample; documents compared with one text at a time.
 SAMPLES, DRAWN, COMPARED = 10, 3, 2000
+#: Rows whose shingles are counted for the order, and frequent shingles of it; sets of a bucket in one task.
+COUNTED, FREQUENT, DEALT = 5000, 50_000, 20_000
 
 
 def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,20 +89,83 @@ def _samples(keys: np.ndarray, n: np.ndarray, samples: int = SAMPLES, drawn: int
     return mixed(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, row_col: str | None = None, sampled: bool = False) -> DataFrame:
-    """(doc_id, row, fp long, samples array) per row; no samples unless asked for."""
-    kind = pa.list_(pa.int64())
+def _sets(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle hash) of the distinct shingles of each text, in order of text and hash."""
+    h, owner = keys.view(">u8").ravel().astype(np.uint64), np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
+    return owner[new], h[new]
+
+
+def needed(size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Least number of members two sets of these sizes share at that similarity."""
+    return np.ceil(similarity / (1 + similarity) * (size + other) - 1e-6).astype(np.int64)
+
+
+def prefixes(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first shingles of each set in the common order, their number): rare ones first. often: (sorted hashes, counts)."""
+    known, counts = often
+    count = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        count = np.where(known[at] == h, counts[at], 0)
+    order = np.lexsort((h, count, owner))
+    most = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1, 0)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return h[order][place < np.repeat(most, sizes)], most
+
+
+def parities(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set the parities of its members' numbers in 2 ** k cells by hash; cells grow with the set."""
+    cells = 1 << np.ceil(np.log2(np.clip(3 * sizes, 64, 1 << 17))).astype(np.int64)
+    first = np.cumsum(cells) - cells
+    at = first[owner] + (h & (cells[owner] - 1).astype(np.uint64)).astype(np.int64)
+    whole = np.packbits(np.bincount(at, minlength=int(cells.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [whole[a : a + c] for a, c in zip((first >> 3).tolist(), (cells >> 3).tolist(), strict=True)]
+
+
+def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles of several rows in a sample; they only order the shingles."""
+    rows = docs.count()
+    some = docs.select(F.col(text_col).cast("string").alias("text"))
+    some = some.sample(COUNTED / rows, SEED) if rows > COUNTED else some
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_sets(*_shingles(as_bytes(part.column("text")), size))[1].view(np.int64))], names=["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    known = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r["n"] for r in found], np.int64)[order]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, row_col: str | None = None, similarity: float | None = None) -> DataFrame:
+    """(doc_id, row, fp long) per row; with a similarity also samples, and of the shingle set a hash, its size, prefix and parities."""
+    often = frequent(docs, text_col, size) if similarity is not None else None
+
+    def lists(values: np.ndarray, per: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(values.view(np.int64).ravel()))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 keys, n = _shingles(as_bytes(part.column("text")), size)
-                drawn = _samples(keys, n).view(np.int64) if sampled and n.any() else np.zeros((0, SAMPLES), np.int64)
-                per = np.where(n > 0, SAMPLES, 0) if len(drawn) else np.zeros(len(n), np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(drawn.ravel())).cast(kind)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(_majorities(keys, n).view(np.int64)), lists], names=["doc_id", "row", "fp", "samples"])
+                out = {"doc_id": part.column("doc_id"), "row": part.column("row"), "fp": pa.array(_majorities(keys, n).view(np.int64))}
+                if often is not None:
+                    drawn = _samples(keys, n) if n.any() else np.zeros((0, SAMPLES), np.uint64)
+                    owner, h = _sets(keys, n)
+                    sizes = np.bincount(owner, minlength=len(n))
+                    whole = np.zeros(len(n), np.uint64)
+                    np.add.at(whole, owner, mixed(h))
+                    prefix, most = prefixes(owner, h, sizes, similarity, often)
+                    out |= {"samples": lists(drawn, np.where(n > 0, SAMPLES, 0)), "whole": pa.array(whole.view(np.int64)), "size": pa.array(sizes), "prefix": lists(prefix, most), "bits": pa.array(parities(owner, h, sizes), pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return _texts(docs, id_col, text_col, row_col).mapInArrow(run, "doc_id long, row long, fp long, samples array<long>")
+    more = ", samples array<long>, whole long, size long, prefix array<long>, bits binary" if often is not None else ""
+    return _texts(docs, id_col, text_col, row_col).mapInArrow(run, f"doc_id long, row long, fp long{more}")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
@@ -299,23 +368,30 @@ def alike(one: list[bytes], other: list[bytes], size: int) -> np.ndarray:
     return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
 
 
-def sample_links(texts: DataFrame, firsts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links (u, v) between fingerprints whose texts are alike: texts(doc_id, text, row), firsts(fp, row, id, samples), one row per fingerprint."""
+def sample_links(texts: DataFrame, own: DataFrame, firsts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (u, v) between fingerprints that a common sample shows: firsts(fp, row, samples), one row per fingerprint."""
     drawn = firsts.select("fp", "row", F.posexplode("samples").alias("s", "key"))
     groups = stored(drawn.groupBy("s", "key").agg(F.min("row").alias("to"), F.count("*").alias("n")).where("n > 1"), "sample-groups")
     pairs = stored(join_unique(drawn, groups, ["s", "key"]).where(F.col("row") != F.col("to")).select("row", "to").distinct(), "sample-pairs")
-    met = stored(pairs.select("row").unionByName(pairs.select(F.col("to").alias("row"))).distinct(), "sampled-rows")
+    links = compared(texts, own, pairs, similarity, size)
+    forget(groups, pairs)
+    return links
+
+
+def compared(texts: DataFrame, own: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (u, v) between the fingerprints of those pairs(row, to) whose texts are alike: texts(doc_id, text, row), own(doc_id, row, fp)."""
+    met = stored(pairs.select("row").unionByName(pairs.select(F.col("to").alias("row"))).distinct(), "met-rows")
     # All columns of the first reading, so that the rows are numbered alike.
-    held = stored(firsts.select("fp", "row", "id").join(met, "row").join(texts, "row"), "sampled-texts")
+    held = stored(own.select("fp", "row", F.col("doc_id").alias("id")).join(met, "row").join(texts, "row"), "met-texts")
     if held.where(F.col("id").eqNullSafe(F.col("doc_id"))).count() != met.count():
         raise RuntimeError("the source gave other partitions on its second reading; store it first")
-    forget(groups, met)
+    forget(met)
     # A text that many are compared with is sent once per COMPARED of them, each time to another task.
-    per = stored(pairs.groupBy("to").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / COMPARED)), "sample-firsts")
+    per = stored(pairs.groupBy("to").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / COMPARED)), "met-firsts")
     first = per.select(F.col("to").alias("row"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(held, "row")
     first = first.select(F.col("row").alias("to"), F.col("part").cast("long").alias("part"), F.col("fp").alias("v"), F.col("text").alias("other"))
     dealt = join_unique(pairs, per, ["to"]).select("row", "to", F.pmod(F.xxhash64("row"), F.col("parts")).cast("long").alias("part"))
-    compared = dealt.join(held.select("fp", "row", "text"), "row").join(first, ["to", "part"]).select(F.col("fp").alias("u"), "v", "text", "other")
+    both = dealt.join(held.select("fp", "row", "text"), "row").join(first, ["to", "part"]).select(F.col("fp").alias("u"), "v", "text", "other")
 
     def run(batches):
         for batch in batches:
@@ -324,8 +400,117 @@ def sample_links(texts: DataFrame, firsts: DataFrame, similarity: float, size: i
                     near = alike(as_bytes(piece.column("text")), as_bytes(piece.column("other")), size) >= similarity
                     yield piece.select(["u", "v"]).filter(pa.array(near))
 
-    links = stored(compared.mapInArrow(run, "u long, v long"), "sample-links")
-    forget(pairs, held, per)
+    links = stored(both.mapInArrow(run, "u long, v long"), "text-links")
+    forget(held, per)
+    return links
+
+
+def meetings(key: np.ndarray, row: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float):
+    """Pairs of rows (less, greater) of different roots in one bucket (key) that sizes and places allow; arrays at a time.
+
+    place: how many shingles stand before the bucket's in the set's order. A bucket goes through its pairs of different roots, or
+    through its pairs of fitting sizes if these are fewer.
+    """
+    order = np.lexsort((size, root, key))
+    key, row, root, size, place = key[order], row[order], root[order], size[order], place[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(key))
+    mixed_roots = np.repeat(root[start] != root[end - 1], end - start)
+    key, row, root, size, place, new = (x[mixed_roots] for x in (key, row, root, size, place, new))
+    if not len(key):
+        return
+    start = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    end = np.append(start[1:], len(key))
+    turn = np.flatnonzero(np.concatenate(([True], new[1:] | (root[1:] != root[:-1]))))
+    run_end = np.repeat(np.append(turn[1:], len(key)), np.diff(np.append(turn, len(key))))
+    by_size = np.lexsort((size, of))
+    ranked = (of << 40) + size[by_size]  # buckets keep their places
+    upto = np.searchsorted(ranked, (of << 40) + np.floor(size[by_size] / similarity + 1e-6).astype(np.int64), "right")
+    inside = np.arange(len(key))
+    plans = [(inside, run_end, end[of] - run_end), (by_size, inside + 1, upto - inside - 1)]
+    fewer = (np.add.reduceat(plans[1][2], start) < np.add.reduceat(plans[0][2], start))[of]
+    for k, (names, first, count) in enumerate(plans):
+        count = np.where(fewer == bool(k), count, 0)
+        total = np.cumsum(count)
+        at = 0
+        while at < len(count):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+            n = count[at:to]
+            if n.any():
+                x = names[np.repeat(np.arange(at, to), n)]
+                y = names[np.repeat(first[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                most = np.minimum(place[x], place[y]) + 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1
+                keep = (root[x] != root[y]) & (low >= similarity * high - 1e-6) & (most >= needed(low, high, similarity))
+                if keep.any():
+                    a, b = row[x[keep]], row[y[keep]]
+                    yield np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            at = to
+
+
+def apart(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Least number of members in one of two sets only, by their parities; the finer is folded to the coarser's cells."""
+    out = np.zeros(len(one), np.int64)
+    a, b = np.array([len(x) for x in one]), np.array([len(x) for x in other])
+    for m, n in {*zip(a.tolist(), b.tolist(), strict=True)}:
+        at = np.flatnonzero((a == m) & (b == n))
+        k = min(m, n)
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1, k), axis=1) for side in (one, other))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def joined_links(texts: DataFrame, own: DataFrame, rooted: DataFrame, similarity: float, size: int) -> DataFrame:
+    """All links (u, v) that the similarity gives between fingerprints of different roots: own as of fingerprints, rooted(fp, root)."""
+    spark = own.sparkSession
+    # Equal sets with an equal fingerprint count once.
+    sets = stored(own.where("size > 0").groupBy("fp", "whole").agg(F.min("row").alias("row")).join(rooted, "fp").select("row", "root"), "sets")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries = own.select("row", "size", "prefix").join(sets, "row").select("row", "root", "size", F.posexplode("prefix").alias("place", "key"))
+    # A sample of the sets tells the buckets that are dealt; a bucket that it misses is only slower.
+    part = max(1, min(64, DEALT // 100))
+    if sets.count() > DEALT:
+        seen = entries.where(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DEALT // part // 2)
+        hot = stored(seen.select("key", F.ceil(F.col("n") * part / DEALT + 1).alias("parts")), "hot-prefixes")
+        if not hot.isEmpty():
+            own_part = F.pmod(F.xxhash64("row"), F.col("parts"))
+            dealt = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.xxhash64("key", F.least(own_part, o), F.greatest(own_part, o)))
+            entries = entries.join(F.broadcast(hot), "key", "left").select("row", "root", "size", "place", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(dealt)).alias("key"))
+    names = ["key", "row", "root", "size", "place"]
+    routed = entries.select(*[F.col(c).cast("long") for c in names]).repartition(n, "key").sortWithinPartitions("key")
+
+    def solve(parts: list[np.ndarray]):
+        for found in meetings(*parts, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["row", "to"])
+
+    def run(batches):
+        now = [np.zeros(0, np.int64) for _ in names]
+        for batch in batches:
+            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(now, names, strict=True)]
+            if len(now[0]) >= 1 << 18:  # whole buckets only; the last may go on
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield from solve([a[:cut] for a in now])
+                now = [a[cut:] for a in now]
+        if len(now[0]):
+            yield from solve(now)
+
+    met = stored(routed.mapInArrow(run, "row long, to long").distinct(), "met-pairs")
+    release(spark)
+
+    def fitting(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("size", "other_size"))
+            least = apart(batch.column("bits").to_pylist(), batch.column("other_bits").to_pylist())
+            yield batch.select(["row", "to"]).filter(pa.array(least <= a + b - 2 * needed(a, b, similarity)))
+
+    known = own.select("row", "size", "bits").join(sets.select("row"), "row", "left_semi")
+    both = met.join(known, "row").join(known.select(F.col("row").alias("to"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits")), "to")
+    pairs = stored(both.select("row", "to", "size", "other_size", "bits", "other_bits").mapInArrow(fitting, "row long, to long"), "fitting-pairs")
+    links = compared(texts, own, pairs, similarity, size)
+    forget(sets, met, pairs)
     return links
 
 
@@ -335,16 +520,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `row` is row_col (distinct numbers) or else numbers the rows of docs over its partitions.
     """
     spark = docs.sparkSession
-    own = stored(fingerprints(docs, id_col, text_col, size, row_col, similarity is not None), "fingerprints")
-    first = [F.min("row").alias("row"), F.min_by("doc_id", "row").alias("id"), F.min_by("samples", "row").alias("samples")] if similarity is not None else []
+    own = stored(fingerprints(docs, id_col, text_col, size, row_col, similarity), "fingerprints")
+    first = [F.min("row").alias("row"), F.min_by("samples", "row").alias("samples")] if similarity is not None else []
     per_fp = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), *first), "distinct-fingerprints")
     found = bucket_links(per_fp.select("fp"), distance)
     if similarity is not None:
-        found = found.unionByName(sample_links(_texts(docs, id_col, text_col, row_col), per_fp, similarity, size))
+        texts = _texts(docs, id_col, text_col, row_col)
+        found = found.unionByName(sample_links(texts, own, per_fp, similarity, size))
     links = stored(found.distinct(), "links")
     release(spark)
     roots = connected_components(links)
     forget(links)
+    if similarity is not None:
+        near = stored(per_fp.select("fp").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+        more = joined_links(texts, own, near, similarity, size)
+        release(spark)
+        before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).unionByName(more))
+        forget(before, more, near)
     rooted = stored(per_fp.select("fp", "least").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     of_root = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
     groups = stored(join_unique(rooted, of_root, ["root"]).select("fp", "component_id"), "groups")

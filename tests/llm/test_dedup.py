@@ -172,6 +172,53 @@ def test_near_copies_by_similarity(spark):
     assert len(got) == len(rows) and len({c for _, c in got}) < len(rows) - 20
 
 
+@pytest.mark.parametrize("dealt", [20_000, 4])
+def test_no_near_copy_depends_on_a_sample(spark, monkeypatch, dealt):
+    """Of three texts the first is like neither of the others, which are alike but may share their samples with it only."""
+    monkeypatch.setattr(simhash, "DEALT", dealt, raising=False)
+    rng, rows = np.random.default_rng(8), []
+    for k in range(300):
+        base = [f"w{k}x{i}" for i in range(100)]
+        for j, spots in enumerate(([5, 14, 23], [], [50, 60])):
+            rows.append((len(rows), " ".join(f"y{k}z{i}" if i in spots else w for i, w in enumerate(base))))
+    # Sets that meet in the buckets of one passage and are not alike.
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(len(rows) + k, f"{passage} " + " ".join(rng.choice(5000, 20).astype(str))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = simhash.near_duplicates(docs, size=5, similarity=0.8, row_col="doc_id").collect()
+    # Fingerprints link as well.
+    fp = [r["fp"] & (2**64 - 1) for r in sorted(out, key=lambda r: r["doc_id"])]
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3
+    want = {d: d for d, _ in rows}
+    for d in range(0, 900, 3):
+        want[d + 1] = want[d + 2] = d if near(d, d + 1) or near(d, d + 2) else d + 1
+    assert sum(d == c for d, c in want.items()) > 600
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
+def test_meetings_against_brute_force():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        sets = [np.unique(rng.integers(0, 40, int(rng.integers(1, 25)))) for _ in range(30)]
+        sets += [np.unique(np.append(s[: max(1, len(s) - 1)], 50 + trial)) for s in sets]
+        root = rng.integers(0, 1 + 4 * trial, len(sets))
+        sizes = np.array([len(s) for s in sets])
+        owner, h = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets).astype(np.uint64)
+        often = (np.arange(0, 40, 3).astype(np.uint64), rng.integers(3, 9, 14))
+        key, most = simhash.prefixes(owner, h, sizes, 0.8, often)
+        row = np.repeat(np.arange(len(sets)), most)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(most) - most, most)
+        found = {(int(a), int(b)) for part in simhash.meetings(key.astype(np.int64), row, root[row], sizes[row], place, 0.8) for a, b in part}
+        bits = simhash.parities(owner, h * np.uint64(0x9E3779B97F4A7C15), sizes)
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert simhash.apart([bits[a]], [bits[b]])[0] <= sizes[a] + sizes[b] - 2 * both
+                if root[a] != root[b] and both >= 0.8 * (sizes[a] + sizes[b] - both):
+                    assert (a, b) in found and both >= simhash.needed(sizes[a], sizes[b], 0.8)
+        assert all(root[a] != root[b] for a, b in found)
+
+
 def brute_cut(rows, size=13):
     words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}
