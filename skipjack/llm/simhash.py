@@ -16,10 +16,13 @@ by least hashes (``SAMPLES`` times ``DRAWN`` of them), documents with an equal s
 sample's first document, and linked if the exact Jaccard similarity of their shingle sets is at least that. Nothing
 is linked unseen. The samples only spare work: what they and the fingerprints leave apart goes through an exact join. In one
 order of all shingles two sets of n and m members at a similarity of t share one of their first n - ceil(t n) + 1 and
-m - ceil(t m) + 1, so every such pair of two groups meets in a shingle's bucket. It goes on only if sizes, places and the
-parities of the hashed sets allow the similarity (all three are bounds, none loses a pair) and is compared by its texts. The order
-puts shingles that are frequent in a sample of the rows last, which changes the buckets' sizes and no result; buckets of
-more than ``DEALT`` sets are dealt into pairs of parts over several tasks.
+m - ceil(t m) + 1, so every such pair of two groups meets in a shingle's bucket. It counts only if sizes, places and the
+parities of the hashed sets allow the similarity (all three are bounds, none loses a pair). A bucket never gives its pairs: sizes
+and places tell the entries that have a partner, these get their parities, and the bucket gives a least spanning forest of the pairs
+left, which are compared by their texts. If all links of a forest hold, its bucket is settled: every pair is inside a
+group. A bucket with a link that fails is gone through again without the failed pairs, in the last of ``ROUNDS`` rounds by
+all pairs left. The order puts shingles that are frequent in a sample of the rows last, which changes the buckets' sizes and no result;
+buckets of more than ``DEALT`` sets are dealt into pairs of parts over several tasks.
 
 Defined cases: null and blank texts have no shingles and fingerprint zero, linked like any other; fewer words than a shingle has are
 one shingle; repeated rows fall in one group; rows that repeat an id with another text are each grouped by their own; null ids get a
@@ -45,6 +48,8 @@ CHUNK, BUCKET_ROWS = 1 << 19, 1 << 16
 SAMPLES, DRAWN, COMPARED = 10, 3, 2000
 #: Rows whose shingles are counted for the order, and frequent shingles of it; sets of a bucket in one task.
 COUNTED, FREQUENT, DEALT = 5000, 50_000, 20_000
+#: Rounds of the exact join; bytes of parities that a task holds of whole buckets, and compares at once.
+ROUNDS, HELD_BYTES, PARITY_BYTES = 3, 32_000_000, 16_000_000
 
 
 def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -375,11 +380,11 @@ def sample_links(texts: DataFrame, own: DataFrame, firsts: DataFrame, similarity
     pairs = stored(join_unique(drawn, groups, ["s", "key"]).where(F.col("row") != F.col("to")).select("row", "to").distinct(), "sample-pairs")
     links = compared(texts, own, pairs, similarity, size)
     forget(groups, pairs)
-    return links
+    return links.select("u", "v")
 
 
 def compared(texts: DataFrame, own: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links (u, v) between the fingerprints of those pairs(row, to) whose texts are alike: texts(doc_id, text, row), own(doc_id, row, fp)."""
+    """Links (u, v, row, to) between the fingerprints of those pairs(row, to) whose texts are alike: texts(doc_id, text, row), own(doc_id, row, fp)."""
     met = stored(pairs.select("row").unionByName(pairs.select(F.col("to").alias("row"))).distinct(), "met-rows")
     # All columns of the first reading, so that the rows are numbered alike.
     held = stored(own.select("fp", "row", F.col("doc_id").alias("id")).join(met, "row").join(texts, "row"), "met-texts")
@@ -391,16 +396,16 @@ def compared(texts: DataFrame, own: DataFrame, pairs: DataFrame, similarity: flo
     first = per.select(F.col("to").alias("row"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(held, "row")
     first = first.select(F.col("row").alias("to"), F.col("part").cast("long").alias("part"), F.col("fp").alias("v"), F.col("text").alias("other"))
     dealt = join_unique(pairs, per, ["to"]).select("row", "to", F.pmod(F.xxhash64("row"), F.col("parts")).cast("long").alias("part"))
-    both = dealt.join(held.select("fp", "row", "text"), "row").join(first, ["to", "part"]).select(F.col("fp").alias("u"), "v", "text", "other")
+    both = dealt.join(held.select("fp", "row", "text"), "row").join(first, ["to", "part"]).select(F.col("fp").alias("u"), "v", "row", "to", "text", "other")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "other", 2_000_000):
                 for piece in slices(part, "text", 2_000_000):
                     near = alike(as_bytes(piece.column("text")), as_bytes(piece.column("other")), size) >= similarity
-                    yield piece.select(["u", "v"]).filter(pa.array(near))
+                    yield piece.select(["u", "v", "row", "to"]).filter(pa.array(near))
 
-    links = stored(both.mapInArrow(run, "u long, v long"), "text-links")
+    links = stored(both.mapInArrow(run, "u long, v long, row long, to long"), "text-links")
     forget(held, per)
     return links
 
@@ -462,13 +467,88 @@ def apart(one: list[bytes], other: list[bytes]) -> np.ndarray:
     return out
 
 
-def joined_links(texts: DataFrame, own: DataFrame, rooted: DataFrame, similarity: float, size: int) -> DataFrame:
-    """All links (u, v) that the similarity gives between fingerprints of different roots: own as of fingerprints, rooted(fp, root)."""
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest; of the links (a, b) those that stand first are preferred."""
+    names, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, label = place[: len(a)], place[len(a) :], np.arange(len(names))
+    left, chosen = np.arange(len(a)), np.zeros(len(a), bool)
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.flatnonzero(chosen)
+        best = np.full(len(names), len(a))
+        np.minimum.at(best, label[a[left]], left)
+        np.minimum.at(best, label[b[left]], left)
+        pick = np.unique(best[best < len(a)])
+        chosen[pick] = True
+        label = united(label, a[pick], b[pick])
+
+
+def partners(key: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which entries of the buckets have a partner of another root that sizes and places allow."""
+    out = np.zeros(len(key), bool)
+    for found in meetings(key, np.arange(len(key)), root, size, place, similarity):
+        out[found.ravel()] = True
+    return out
+
+
+def spanned(key: np.ndarray, row: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, bits: list[bytes], failed: list, similarity: float, whole: bool = False):
+    """(key, row, to) arrays at a time: in each bucket a forest between the roots over the pairs that sizes, places and parities allow, or (whole) all these.
+
+    The nearest by their parities come first. failed: of each entry the rows greater than its own that it is known not to be like.
+    """
+    order = np.lexsort((root, key))
+    node = np.empty(len(key), np.int64)  # a root in a bucket
+    node[order] = np.cumsum(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (root[order][1:] != root[order][:-1])))[: len(key)])
+    width = np.array([len(x) for x in bits], np.int64)
+    lists = {int(r): f for r, f in zip(row, failed, strict=True) if f is not None and len(f)}
+    names = np.unique(np.concatenate([row, *lists.values()]))
+    number = lambda r: np.searchsorted(names, r)
+    wrong = np.concatenate([np.zeros(0, np.int64), *(number(r) * len(names) + number(np.asarray(f)) for r, f in lists.items())])
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def least():
+        x, y, far = held
+        order = np.lexsort((np.maximum(row[x], row[y]), np.minimum(row[x], row[y]), far))
+        order = order[forest(node[x[order]], node[y[order]])]
+        return [a[order] for a in held]
+
+    def rows(x, y):
+        return key[x], np.minimum(row[x], row[y]), np.maximum(row[x], row[y])
+
+    for found in meetings(key, np.arange(len(key)), root, size, place, similarity):
+        used = np.cumsum(width[found].sum(axis=1))
+        for piece in np.split(found, np.flatnonzero(np.diff(used // PARITY_BYTES)) + 1):
+            x, y = piece.T
+            far = apart([bits[i] for i in x], [bits[i] for i in y])
+            keep = far <= size[x] + size[y] - 2 * needed(size[x], size[y], similarity)
+            if len(wrong) and keep.any():
+                keep &= ~np.isin(number(np.minimum(row[x], row[y])) * len(names) + number(np.maximum(row[x], row[y])), wrong)
+            if not keep.any():
+                continue
+            x, y, far = x[keep], y[keep], far[keep]
+            if whole:
+                yield rows(x, y)
+                continue
+            held = [np.concatenate((a, b)) for a, b in zip(held, (x, y, far / (size[x] + size[y])), strict=True)]
+            if len(held[0]) > CHUNK:
+                held = least()
+    if len(held[0]):
+        yield rows(*least()[:2])
+
+
+def joined_roots(texts: DataFrame, own: DataFrame, roots: DataFrame, similarity: float, size: int) -> DataFrame:
+    """roots(u, root), joined further by all links that the similarity gives: own as of fingerprints."""
     spark = own.sparkSession
     # Equal sets with an equal fingerprint count once.
-    sets = stored(own.where("size > 0").groupBy("fp", "whole").agg(F.min("row").alias("row")).join(rooted, "fp").select("row", "root"), "sets")
+    sets = stored(own.where("size > 0").groupBy("fp", "whole").agg(F.min("row").alias("row")).select("fp", "row"), "sets")
+
+    def rooted() -> DataFrame:
+        return stored(sets.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("root")), "set-roots")
+
+    of = rooted()
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = own.select("row", "size", "prefix").join(sets, "row").select("row", "root", "size", F.posexplode("prefix").alias("place", "key"))
+    entries = own.select("row", "size", "prefix").join(of, "row").select("row", "root", "size", F.posexplode("prefix").alias("place", "key"))
     # A sample of the sets tells the buckets that are dealt; a bucket that it misses is only slower.
     part = max(1, min(64, DEALT // 100))
     if sets.count() > DEALT:
@@ -479,39 +559,65 @@ def joined_links(texts: DataFrame, own: DataFrame, rooted: DataFrame, similarity
             dealt = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.xxhash64("key", F.least(own_part, o), F.greatest(own_part, o)))
             entries = entries.join(F.broadcast(hot), "key", "left").select("row", "root", "size", "place", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(dealt)).alias("key"))
     names = ["key", "row", "root", "size", "place"]
-    routed = entries.select(*[F.col(c).cast("long") for c in names]).repartition(n, "key").sortWithinPartitions("key")
+    by_key = lambda df, *more: df.select(*[F.col(c).cast("long") for c in names], *more).repartition(n, "key").sortWithinPartitions("key")
 
-    def solve(parts: list[np.ndarray]):
-        for found in meetings(*parts, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["row", "to"])
-
-    def run(batches):
-        now = [np.zeros(0, np.int64) for _ in names]
+    def buckets(batches, limit: int):
+        """Record batches cut to whole buckets (the last may go on) of about `limit` bytes together."""
+        now = None
         for batch in batches:
-            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(now, names, strict=True)]
-            if len(now[0]) >= 1 << 18:  # whole buckets only; the last may go on
-                cut = int(np.searchsorted(now[0], now[0][-1]))
+            now = pa.Table.from_batches([batch] if now is None else [*now.to_batches(), batch])
+            if now.nbytes >= limit:
+                key = now.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from solve([a[:cut] for a in now])
-                now = [a[cut:] for a in now]
-        if len(now[0]):
-            yield from solve(now)
-
-    met = stored(routed.mapInArrow(run, "row long, to long").distinct(), "met-pairs")
+                    yield now.slice(0, cut)
+                now = now.slice(cut).combine_chunks()
+        if now is not None and now.num_rows:
+            yield now
+
+    def meeting(batches):
+        for found in buckets(batches, 40 << 18):
+            key, row, root, many, place = (found.column(c).to_numpy() for c in names)
+            keep = partners(key, root, many, place, similarity)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, row, place)], names=["key", "row", "place"])
+
+    held = stored(by_key(entries).mapInArrow(meeting, "key long, row long, place long"), "met-entries")
+    known = stored(own.select("row", "size", "bits").join(held.select("row").distinct(), "row"), "met-sets")
     release(spark)
-
-    def fitting(batches):
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy() for c in ("size", "other_size"))
-            least = apart(batch.column("bits").to_pylist(), batch.column("other_bits").to_pylist())
-            yield batch.select(["row", "to"]).filter(pa.array(least <= a + b - 2 * needed(a, b, similarity)))
-
-    known = own.select("row", "size", "bits").join(sets.select("row"), "row", "left_semi")
-    both = met.join(known, "row").join(known.select(F.col("row").alias("to"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits")), "to")
-    pairs = stored(both.select("row", "to", "size", "other_size", "bits", "other_bits").mapInArrow(fitting, "row long, to long"), "fitting-pairs")
-    links = compared(texts, own, pairs, similarity, size)
-    forget(sets, met, pairs)
-    return links
+    failed = None
+    for turn in range(ROUNDS):
+        whole = turn == ROUNDS - 1
+
+        def spanning(batches, whole=whole):
+            for found in buckets(batches, HELD_BYTES):
+                parts = [found.column(c).to_numpy() for c in names]
+                for out in spanned(*parts, found.column("bits").to_pylist(), found.column("failed").to_pylist(), similarity, whole):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "row", "to"])
+
+        side = known.join(of, "row")
+        if failed is None:
+            side = side.withColumn("failed", F.lit(None).cast("array<long>"))
+        else:
+            side = side.join(failed.groupBy("row").agg(F.collect_list("to").alias("failed")), "row", "left")
+        edges = stored(by_key(held.join(side, "row"), "bits", "failed").mapInArrow(spanning, "key long, row long, to long"), "met-links")
+        pairs = stored(edges.select("row", "to").distinct(), "met-pairs")
+        if pairs.isEmpty():
+            break
+        links = compared(texts, own, pairs, similarity, size)
+        before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).unionByName(links.select("u", "v")))
+        wrong = stored(pairs.join(links.select("row", "to"), ["row", "to"], "left_anti"), "failed-pairs")
+        forget(before, links, pairs, of)
+        release(spark)
+        if whole or wrong.isEmpty():
+            break
+        # Only buckets with a link that failed are open.
+        again = stored(held.join(edges.join(wrong, ["row", "to"], "left_semi").select("key").distinct(), "key", "left_semi"), "met-entries")
+        forget(held, edges)
+        held, of = again, rooted()
+        failed = wrong if failed is None else failed.unionByName(wrong)
+    forget(sets, held, known)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None, row_col: str | None = None) -> DataFrame:
@@ -532,11 +638,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links)
     forget(links)
     if similarity is not None:
-        near = stored(per_fp.select("fp").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-        more = joined_links(texts, own, near, similarity, size)
-        release(spark)
-        before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).unionByName(more))
-        forget(before, more, near)
+        roots = joined_roots(texts, own, roots, similarity, size)
     rooted = stored(per_fp.select("fp", "least").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     of_root = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
     groups = stored(join_unique(rooted, of_root, ["root"]).select("fp", "component_id"), "groups")

@@ -219,6 +219,79 @@ def test_meetings_against_brute_force():
         assert all(root[a] != root[b] for a, b in found)
 
 
+def test_buckets_give_forests_against_brute_force():
+    """Each bucket's links span what its allowed pairs span, with fewer links than entries; failed pairs are left out."""
+    rng = np.random.default_rng(4)
+    for trial in range(20):
+        base = rng.choice(200, 60, replace=False)
+        sets = [np.unique(np.append(rng.choice(base, 57, replace=False), 300 + k % 7)) for k in range(60)]
+        sizes, root = np.array([len(s) for s in sets]), np.arange(60) // (1 + trial % 3)
+        owner, h = np.repeat(np.arange(60), sizes), np.concatenate(sets).astype(np.uint64)
+        bits = simhash.parities(owner, h * np.uint64(0x9E3779B97F4A7C15), sizes)
+        key, row = np.repeat([5, 9], 60), np.tile(np.arange(60), 2)
+        failed = [[r + 1, r + 2] if r % 4 == 0 and r < 58 else None for r in row]
+        args = (key, row, root[row], sizes[row], np.zeros(120, np.int64), [bits[r] for r in row], failed, 0.8)
+        whole = {tuple(x) for part in simhash.spanned(*args, whole=True) for x in zip(*(a.tolist() for a in part), strict=True)}
+        found = [tuple(x) for part in simhash.spanned(*args) for x in zip(*(a.tolist() for a in part), strict=True)]
+        assert set(found) <= whole and len(found) == len(set(found)) < 120 < len(whole)
+        assert not any(a % 4 == 0 and a < b <= a + 2 and a < 58 for _, a, b in whole)
+        for a in range(60):
+            for b in range(a + 1, 60):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if root[a] != root[b] and both >= 0.8 * (sizes[a] + sizes[b] - both) and not (a % 4 == 0 and b <= a + 2 and a < 58):
+                    assert {(5, a, b), (9, a, b)} <= whole
+        for k in (5, 9):
+            spans = []
+            for links in (whole, found):
+                own = root.copy()
+                for _, a, b in [x for x in links if x[0] == k]:
+                    own[own == max(own[a], own[b])] = min(own[a], own[b])
+                spans.append(own.tolist())
+            assert spans[0] == spans[1]
+
+
+def test_no_table_holds_the_pairs_of_a_passage(spark, monkeypatch):
+    """Texts that share a passage meet in its buckets; what is stored grows with their entries, not with their pairs."""
+    rows, counts, own = [], [], simhash.stored
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(k, f"{passage} " + " ".join(f"w{k}x{i}" for i in range(24))) for k in range(300)]
+
+    def counted(df, name):
+        out = own(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=5, similarity=0.8, row_col="doc_id").collect()
+    assert len(out) == 300 and len({r["component_id"] for r in out}) > 280  # a few fingerprints link
+    assert max(counts) <= 300 * 26  # the prefixes' entries; there are 44,850 pairs
+
+
+def test_links_that_fail_hide_no_other(spark, monkeypatch):
+    """Coarse parities let pairs pass that are not alike; the rounds still find every alike pair and no other."""
+    fine = simhash.parities
+    monkeypatch.setattr(simhash, "parities", lambda owner, h, sizes: [b"\0" * 8] * len(fine(owner, h, sizes)))
+    monkeypatch.setattr(simhash, "sample_links", lambda texts, own, firsts, similarity, size: texts.sparkSession.createDataFrame([], "u long, v long"))
+    rng, rows = np.random.default_rng(6), []
+    for k in range(12):
+        base = [f"g{k % 3}w{i}" for i in range(60)]
+        for _ in range(6):
+            spots = set(rng.choice(60, int(rng.integers(1, 4)), replace=False).tolist())
+            rows.append((len(rows), " ".join(f"y{len(rows)}z{i}" if i in spots else w for i, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = simhash.near_duplicates(docs, size=5, similarity=0.8, row_col="doc_id").collect()
+    fp = [r["fp"] & (2**64 - 1) for r in sorted(out, key=lambda r: r["doc_id"])]
+    texts = [t.encode() for _, t in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 3 or simhash.alike([texts[a]], [texts[b]], 5)[0] >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert 3 < len(set(want)) < len(rows) - 10
+    assert {r["doc_id"]: r["component_id"] for r in out} == dict(enumerate(want))
+
+
 def brute_cut(rows, size=13):
     words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}
